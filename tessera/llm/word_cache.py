@@ -1,0 +1,90 @@
+"""Token ids of texts from a cache of pre-token encodings; equal to the library's on every text.
+
+Both JSON tokenizers split a text into pre-tokens with a fixed pattern and encode each by itself, so
+a text's ids are the ids of its pre-tokens in order.  Texts made only of characters on which a plain
+``re`` pattern surely splits as the library does take the cached way; the rest (other scripts,
+control characters, special strings) go through the library whole.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+from collections.abc import Callable
+
+#: Characters for which class membership is the same in every engine: printable ASCII, tab, newline,
+#: carriage return and Latin-1 letters and signs, without the superscripts, fractions and ordinals.
+UNSURE = re.compile("[^\t\n\r -~¡-©«¬®-±´¶-¸»¿-ÿ]")
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+BYTE_LEVEL = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\t\n\r 0-9{LETTER}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
+)
+WORD_END = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\t\n\r 0-9{LETTER}]+")
+#: Pre-tokens that a worker remembers; beyond, it starts afresh.  About 150 bytes each.
+REMEMBERED = 700_000
+
+_open: dict = {}
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file by name; a path is returned as it is."""
+    if os.path.sep in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def load(name: str):
+    """The library's tokenizer, opened once per worker."""
+    if name not in _open:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        _open[name] = Tokenizer.from_file(tokenizer_path(name))
+    return _open[name]
+
+
+class Remembering(dict):
+    """A dictionary that computes what it misses and forgets everything at a bound."""
+
+    def __init__(self, compute: Callable, most: int = REMEMBERED):
+        super().__init__()
+        self.compute, self.most = compute, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.compute(key)
+        return value
+
+
+class IdEncoder:
+    """``encode(text)``: the text's ids as little-endian unsigned integers of ``width`` bytes."""
+
+    def __init__(self, name: str, width: int = 4):
+        self.tok = load(name)
+        self.width = width
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.lower = self.tok.normalizer is not None
+        self.split = (WORD_END if self.lower else BYTE_LEVEL).findall
+        self.words = Remembering(self._library)
+
+    def _library(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if UNSURE.search(text) or ("<|" in text and any(s in text for s in self.special)):
+            return self._library(text)
+        return b"".join(map(self.words.__getitem__, self.split(text.lower() if self.lower else text)))
+
+
+def encoder(name: str, width: int = 4) -> IdEncoder:
+    """One encoder per worker and tokenizer."""
+    key = (name, width)
+    if key not in _open:
+        _open[key] = IdEncoder(name, width)
+    return _open[key]
