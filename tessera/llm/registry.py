@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from tessera.llm.config_packing import op8_config_packing
+from tessera.llm.language_id import op7_language_id
+from tessera.llm.license_scan import op9_license_scan
+from tessera.llm.media_columns import op2_media_columns
+from tessera.llm.sharding import op1_shard_lookup
 from tessera.llm.token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_config_packing)}
+_ALL = (op1_shard_lookup, op2_media_columns, op3_token_counts, op7_language_id, op8_config_packing, op9_license_scan)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
