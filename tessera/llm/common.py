@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["arrow_map", "checkpointed", "connected_components", "documents", "stable_id", "table"]
+__all__ = ["arrow_map", "checkpoint_folder", "checkpointed", "connected_components", "documents", "stable_id", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -22,14 +22,17 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return table(spark, sf_dir, "documents", *(cols or ("doc_id", "text")))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the folder of spark.checkpoint.dir, so that lost executors cost no rerun.
-
-    Only a session without that setting (as in tests) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a session without that setting (as in tests) gets one of its own."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, so that lost executors cost no rerun."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
