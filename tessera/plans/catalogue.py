@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.plans import kg_queries
+
 FLAGSHIP = "kg_query_as_of"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = (kg_queries,)
+QUERIES: dict = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.items()}
