@@ -98,41 +98,37 @@ def votes(docs: DataFrame, base: list = BASE, notices: list = NOTICES, k: int =
 
 
 def spans(found: DataFrame, base: list = BASE, notices: list = NOTICES, k: int = K, shift: int = SHIFT) -> DataFrame:
-    """(doc_id, text_hash, template, first, last, votes, share) after merging neighbouring diagonals."""
+    """(doc_id, text_hash, template, first, last, votes, share, n_whole, first_whole, last_whole) after merging neighbouring diagonals.
+
+    The last three tell of diagonals that alone have all votes: how many, the first and the last.
+    """
     by = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > shift, F.lit(True)).cast("int")
     merged = found.withColumn("new", new).withColumn("cluster", F.sum("new").over(by))
-    full = F.element_at(F.create_map(*(F.lit(x) for t, (_, text) in enumerate([*base, *notices]) for x in (t, len(template_words(text)) - k + 1))), F.col("template"))
-    return (
-        merged.groupBy("doc_id", "text_hash", "template", "cluster")
-        .agg(F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.sum("votes").alias("votes"))
-        .withColumn("share", F.least(F.lit(1.0), F.col("votes") / full))
-    )
+    full = F.get(F.array(*(F.lit(len(template_words(text)) - k + 1) for _, text in [*base, *notices])), F.col("template"))
+    whole = F.when(F.col("votes") == full, F.col("diagonal"))
+    each = merged.groupBy("doc_id", "text_hash", "template", "cluster").agg(
+        F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.sum("votes").alias("votes"),
+        F.count(whole).alias("n_whole"), F.min(whole).alias("first_whole"), F.max(whole).alias("last_whole"),
+    )
+    return each.withColumn("share", F.least(F.lit(1.0), F.col("votes") / full))
 
 
 def scan(docs: DataFrame, base: list = BASE, notices: list = NOTICES, k: int = K, share: float = SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs``."""
-    labels = F.array(*(F.lit(x) for x, _ in [*base, *notices]))
-    label = F.get(labels, F.col("template"))
-    full = F.get(F.array(*(F.lit(len(template_words(text)) - k + 1) for _, text in [*base, *notices])), F.col("template"))
-    found = votes(docs, base, notices, k)
-    places = found.where((F.col("template") < len(base)) & (F.col("votes") == full)).select(
-        "doc_id", "text_hash", label.alias("label"), F.col("diagonal").alias("at"), F.lit(1.0).alias("share"), F.lit(True).alias("is_base")
-    )
-    voted = spans(found, base, notices, k).where((F.col("template") >= len(base)) & (F.col("share") >= share)).select(
-        "doc_id", "text_hash", label.alias("label"), F.col("first").alias("at"), "share", F.lit(False).alias("is_base")
-    )
-    base_at = F.when(F.col("is_base"), F.col("at").cast("long"))
+    label = F.get(F.array(*(F.lit(x) for x, _ in [*base, *notices])), F.col("template"))
+    found = spans(votes(docs, base, notices, k), base, notices, k).withColumn("is_base", F.col("template") < len(base))
+    found = found.where(F.when(F.col("is_base"), F.col("n_whole") > 0).otherwise(F.col("share") >= share))
+    of_base = lambda c: F.when(F.col("is_base"), c)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    each = places.unionByName(voted).groupBy("doc_id", "text_hash").agg(
-        F.count_if("is_base").alias("n_base"), F.min(base_at).alias("first_word"), F.max(base_at).alias("last_word"),
-        joined(F.when(F.col("is_base"), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("share").alias("score"),
+    each = found.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(
+        F.sum(of_base(F.col("n_whole"))).alias("n_base"), F.min(of_base(F.col("first_whole"))).alias("first_word"), F.max(of_base(F.col("last_whole"))).alias("last_word"),
+        joined(of_base(label)).alias("base_labels"), joined(label).alias("labels"), F.max(F.when(F.col("is_base"), 1.0).otherwise(F.col("share"))).alias("score"),
     )
-    each = each.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), *each.columns[2:])
     rows = docs.select("doc_id", F.xxhash64("text").alias("__text"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
 
