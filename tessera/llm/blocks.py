@@ -29,8 +29,23 @@ def buckets(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     return members.join(sides, ["center", "block"]).select("key", "center", "a", "b")
 
 
+def stars(forest: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same groups with every node linked to its group's least."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in forest:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in list(up) if root(x) != x]
+
+
 def block_links(rows: DataFrame, link: Callable[[list, list], list[tuple[int, int]]], content: str) -> DataFrame:
-    """(src, dst) from (center, a, b, key, content): ``link(keys, contents)`` gives each block pair's forest, as positions."""
+    """(src, dst) from (center, a, b, key, content): ``link(keys, contents)`` gives each block pair's forest, as positions; it comes out as stars."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +53,7 @@ def block_links(rows: DataFrame, link: Callable[[list, list], list[tuple[int, in
 
         def done() -> None:
             if len(keys) > 1:
-                links.extend((keys[i], keys[j]) for i, j in link(keys, contents))
+                links.extend(stars([(keys[i], keys[j]) for i, j in link(keys, contents)]))
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["arrow_map", "checkpoint_folder", "checkpointed", "connected_components", "documents", "stable_id", "table"]
+__all__ = ["arrow_map", "checkpoint_folder", "checkpointed", "connected_components", "documents", "release", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -30,12 +31,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, so that lost executors cost no rerun."""
+#: Rows of a small table that one checkpoint file holds.
+FILE_ROWS = 100_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` computed once into the shared folder, so that lost executors cost no rerun.
+
+    ``rows``, where it is known how many there are about, keeps small tables from being cut into a file for every
+    shuffle partition.
+    """
     checkpoint_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to, now that a checkpoint replaced them.
+
+    It does so only when the driver collects garbage, which may otherwise be long after the disk is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_map(df: DataFrame, schema: str, fn: Callable[..., tuple], *cols: str) -> DataFrame:
     """``fn(*column lists) -> lists`` over Arrow batches of the columns ``cols``; rows go out as ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,11 +73,6 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[..., tuple], *cols: str)
     return df.select(*cols).mapInArrow(run, schema)
 
 
-def stable_id(*cols: str | Column) -> Column:
-    """A 64-bit id of the given columns."""
-    return F.xxhash64(*cols)
-
-
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of an undirected edge table (src, dst); component is the smallest node reached.
 
@@ -71,26 +86,31 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         .where("a > b")  # also drops nulls and self-links
         .distinct()
     )
+    spark = e.sparkSession
     e = checkpointed(e)
-    before = None
-    for _ in range(rounds):
+    release(spark)
+    state = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    before = e.agg(*state).first()
+    for _ in range(rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        e = checkpointed(
+        small = (
             small.select("a", F.col("m").alias("b"))
             .unionByName(small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))
             .where("a > b")
             .distinct()
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        e = checkpointed(small, before[0])
+        now = e.agg(*state).first()
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -57,6 +57,6 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1) > 0
 
 
-def bits_for(n: int, least: int = 12, most: int = 26) -> int:
+def bits_for(n: int, least: int = 12, most: int = 27) -> int:
     """About 16 bits for each of n members, within bounds; beyond them a bitmap only says yes more often."""
     return min(most, max(least, (16 * max(1, n)).bit_length()))
