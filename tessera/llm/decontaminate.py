@@ -41,6 +41,8 @@ ANSWER = 0.75
 ANSWER_WORDS = 8
 PASSAGE = 48
 BLOCK = 4000
+#: Words of a text that are searched at once.
+SEGMENT = 16384
 #: Words of a document's passage when document frequencies are counted.
 COUNTED = 64
 
@@ -176,7 +178,7 @@ class Retrieval:
     def __init__(self, items: list[tuple[int, int, list[str]]], known: dict[str, int], idf: np.ndarray, space: np.ndarray):
         self.items, self.known, self.size = items, known, len(idf)
         self.idf = np.append(idf, 0.0)
-        self.space = np.vstack([space * idf[:, None], np.zeros(space.shape[1])]).astype(np.float32)
+        self.space = np.vstack([space * idf[:, None], np.zeros(space.shape[1])])
         sums = np.array([self.space[[known[w] for w in words]].sum(axis=0) for _, _, words in items])
         self.latent = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         self.mass = np.array([sum(idf[known[w]] ** 2 for w in words) for _, _, words in items])
@@ -185,6 +187,7 @@ class Retrieval:
         for w in sorted({max(8, 1 << (int(n) - 1).bit_length()) for n in length}):
             of = np.flatnonzero((length <= w) & (length > (w // 2 if w > 8 else 0)))
             self.windows.append((w, of, float(self.mass[of].min()) * MASS))
+        self.longest = self.windows[-1][0]
         self.answers = []
         for _, _, words in items:
             rare = sorted(set(words), key=lambda w: (-idf[known[w]], w))[:ANSWER_WORDS]
@@ -193,29 +196,38 @@ class Retrieval:
     def search(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
         """(item_id, cosine, share of the subsequence, share of the answer, first word), the best for each item."""
         words = words_of(text)
-        if not words:
-            return []
         get, none = self.known.get, self.size
         ids = np.array([get(w, none) for w in words], np.int64)
-        mass = np.concatenate([[0.0], np.cumsum(self.idf[ids] ** 2)])
         found: dict[int, tuple] = {}
-        tried: set[tuple[int, int]] = set()
-        for w, of, least in self.windows:
-            start = np.arange(0, max(1, len(words) - w // 2), max(1, w // 4))
-            end = np.minimum(start + w, len(words))
-            heavy = np.flatnonzero(mass[end] - mass[start] >= least)
-            for k in heavy.tolist():
-                a, b = int(start[k]), int(end[k])
-                v = self.space[ids[a:b]].sum(axis=0)
-                norm = float(np.linalg.norm(v))
-                if norm < 1e-9:
-                    continue
-                cosine = self.latent[of] @ v / norm
-                for j in np.flatnonzero((cosine >= COSINE) & ((mass[b] - mass[a]) >= MASS * self.mass[of])).tolist():
-                    self._verify(int(of[j]), float(cosine[j]), words, a, b, found, tried)
+        for low in range(0, len(words), SEGMENT):
+            self._search(words, ids[low : low + SEGMENT + self.longest], low, found)
         return [(item, *found[item]) for item in sorted(found)]
 
-    def _verify(self, p: int, cosine: float, words: list[str], a: int, b: int, found: dict, tried: set) -> None:
+    def _search(self, words: list[str], ids: np.ndarray, low: int, found: dict) -> None:
+        """Windows that start in one segment of a text."""
+        mass = np.concatenate([[0.0], np.cumsum(self.idf[ids] ** 2)])
+        sums = None
+        for w, of, least in self.windows:
+            start = np.arange(0, min(SEGMENT, max(1, len(ids) - w // 2)), max(1, w // 4))
+            end = np.minimum(start + w, len(ids))
+            weight = mass[end] - mass[start]
+            heavy = np.flatnonzero(weight >= least)
+            if not len(heavy):
+                continue
+            if sums is None:
+                inside = ids < self.size  # other words have no place in the space
+                before = np.concatenate([[0], np.cumsum(inside)])
+                sums = np.zeros((before[-1] + 1, self.space.shape[1]))
+                np.cumsum(self.space[ids[inside]], axis=0, out=sums[1:])
+            start, end, weight = start[heavy], end[heavy], weight[heavy]
+            v = sums[before[end]] - sums[before[start]]
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            cosine = v @ self.latent[of].T
+            near = (cosine >= COSINE) & (weight[:, None] >= MASS * self.mass[of])
+            for k, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                self._verify(int(of[j]), float(cosine[k, j]), words, low + int(start[k]), low + int(end[k]), found)
+
+    def _verify(self, p: int, cosine: float, words: list[str], a: int, b: int, found: dict) -> None:
         item, _, passage = self.items[p]
         reach = max(4, len(passage) // 3)
         low, high = max(0, a - reach), min(len(words), b + reach)
