@@ -136,15 +136,16 @@ def created_under(triples: DataFrame, context: str) -> DataFrame:
 def closure(triples: DataFrame, seeds: DataFrame, predicate: str = "is_a", depth: int = 5) -> DataFrame:
     """(id, ancestor, depth): everything reached from ``seeds`` (id) over current facts, at its least depth; seeds at 0.
 
-    Unrolled joins, each an anti-join on what was reached; cycles end by themselves.
+    One join and one aggregation for each level; only rows of the last level find anything to join.
     """
     up = triples.where((F.col("predicate") == predicate) & is_current()).select(F.col("subject").alias("__s"), F.col("object").alias("__o")).distinct()
     reached = seeds.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).distinct()
-    front = reached
     for d in range(1, depth + 1):
-        step = front.join(up, F.col("ancestor") == F.col("__s")).select("id", F.col("__o").alias("ancestor"), F.lit(d).alias("depth")).distinct()
-        front = step.join(reached, ["id", "ancestor"], "left_anti")
-        reached = reached.unionByName(front)
+        step = reached.join(up, F.when(F.col("depth") == d - 1, F.col("ancestor")) == F.col("__s"), "left")
+        own = F.struct("ancestor", "depth")
+        found = F.when(F.col("__o").isNotNull(), F.array(own, F.struct(F.col("__o").alias("ancestor"), F.lit(d).alias("depth")))).otherwise(F.array(own))
+        step = step.select("id", F.explode(found).alias("r"))
+        reached = step.groupBy("id", F.col("r.ancestor").alias("ancestor")).agg(F.min("r.depth").alias("depth"))
     return reached
 
 

@@ -234,3 +234,54 @@ SELECT p.seed, p.id, p.hop, round(CASE p.hop WHEN 1 THEN 0.5e0 WHEN 2 THEN 0.3e0
 def kg_graph_walk(spark, sf_dir):
     seeds = view(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier_"), "s_suppkey").alias("id"))
     return kg.graph_walk(view(spark, sf_dir, "triples"), seeds).withColumn("score", F.round("score", 6))
+
+
+_SIM = "SELECT concat('nation_', n_nationkey) AS a, concat('nation_', (n_nationkey * 3 + 1) % 25) AS b, round(0.65e0 + n_nationkey % 4 / 10.0e0, 2) AS confidence FROM nation"
+_HOP = "SELECT f.seed, w.b AS id, max(round(f.weight * w.confidence * {d}, 12)) AS weight FROM {f} AS f JOIN w ON w.a = f.id WHERE round(f.weight * w.confidence * {d}, 12) >= 0.0001 {seen} GROUP BY f.seed, w.b"
+
+
+def _seen(k: int) -> str:
+    return "AND w.b <> f.seed " + " ".join(f"AND NOT EXISTS (SELECT 1 FROM h{i} AS s WHERE s.seed = f.seed AND s.id = w.b)" for i in range(1, k))
+
+
+@query(
+    f"WITH e AS ({_SIM}), u AS (SELECT a, b, confidence FROM e UNION ALL SELECT b, a, confidence FROM e), w AS (SELECT a, b, max(confidence) AS confidence FROM u GROUP BY a, b), h0 AS (SELECT concat('nation_', n_nationkey) AS seed, concat('nation_', n_nationkey) AS id, 1.0e0 AS weight FROM nation), "
+    + ", ".join(f"h{k} AS ({_HOP.format(d=f'{0.85 ** (k - 1)!r}e0', f=f'h{k - 1}', seen=_seen(k))})" for k in range(1, 5))
+    + " "
+    + " UNION ALL ".join(f"SELECT seed, id, {k} AS hop, round(weight, 6) AS weight FROM h{k}" for k in range(1, 5))
+)
+def kg_similar_contexts(spark, sf_dir):
+    view(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    seeds = view(spark, sf_dir, "nation").select(F.concat(F.lit("nation_"), "n_nationkey").alias("id"))
+    return kg.similar_contexts(spark.sql(_SIM), seeds).withColumn("weight", F.round("weight", 6))
+
+
+@query("""
+WITH kinds AS (SELECT DISTINCT s.kind AS a_kind, o.kind AS b_kind FROM triples AS t JOIN entities AS s ON t.subject = s.id JOIN entities AS o ON t.object = o.id),
+p AS (SELECT 'supplies' AS predicate, ['entity'] AS s, ['literal'] AS o UNION ALL SELECT 'placed_by', ['record'], ['entity'] UNION ALL SELECT 'near', [], [] UNION ALL SELECT 'is_a', [], ['class']),
+x AS (SELECT a_kind, b_kind, predicate, row_number() OVER (PARTITION BY a_kind, b_kind ORDER BY predicate) AS rank FROM kinds, p WHERE (len(s) = 0 OR list_contains(s, a_kind)) AND (len(o) = 0 OR list_contains(o, b_kind)))
+SELECT a_kind, b_kind, predicate, rank FROM x WHERE rank <= 12""")
+def kg_compatible_predicates(spark, sf_dir):
+    t, e = view(spark, sf_dir, "triples"), view(spark, sf_dir, "entities")
+    pairs = t.join(e.select(F.col("id").alias("subject"), F.col("kind").alias("a_kind")), "subject").join(e.select(F.col("id").alias("object"), F.col("kind").alias("b_kind")), "object")
+    rules = spark.sql("SELECT * FROM VALUES ('supplies', array('entity'), array('literal')), ('placed_by', array('record'), array('entity')), ('near', array(), array()), ('is_a', array(), array('class')) AS t(predicate, subject_kinds, object_kinds)")
+    return kg.compatible_predicates(pairs, rules)
+
+
+@query("SELECT subject, count(*) FILTER (WHERE predicate IN ('placed_by')) AS hidden, count(*) FILTER (WHERE predicate NOT IN ('placed_by')) AS shown FROM triples GROUP BY subject")
+def kg_hidden_edges(spark, sf_dir):
+    t = view(spark, sf_dir, "triples").withColumn("predicate", F.when(F.col("predicate") == "placed_by", "surfaced").otherwise(F.col("predicate")))
+    return kg.without_bookkeeping(t, ["subject"])[1]
+
+
+@query(_UP + """, p AS (SELECT concat('region_', r_regionkey) AS ancestor, concat('slots of ', r_name) AS slots, [concat('tool_', r_regionkey)] AS tools FROM region UNION ALL SELECT concat('nation_', n_nationkey), CASE WHEN n_nationkey % 2 = 0 THEN concat('slots of ', n_name) END, ['base', concat('n', n_nationkey % 3)] FROM nation),
+j AS (SELECT l.id, l.depth, l.ancestor, p.slots, p.tools FROM least AS l JOIN p USING (ancestor))
+SELECT id, first(slots ORDER BY depth, ancestor) FILTER (WHERE slots IS NOT NULL) AS slots, array_to_string(list_sort(list_distinct(flatten(list(tools)))), ',') AS tools FROM j GROUP BY id""")
+def kg_intent_profile(spark, sf_dir):
+    t, seeds = _hierarchy(spark, sf_dir)
+    r = view(spark, sf_dir, "region").select(F.concat(F.lit("region_"), "r_regionkey").alias("id"), F.concat(F.lit("slots of "), "r_name").alias("slots"), F.array(F.concat(F.lit("tool_"), "r_regionkey")).alias("tools"))
+    n = view(spark, sf_dir, "nation").select(
+        F.concat(F.lit("nation_"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("slots of "), "n_name")).alias("slots"),
+        F.array(F.lit("base"), F.concat(F.lit("n"), F.col("n_nationkey") % 3)).alias("tools"),
+    )
+    return kg.resolve_profile(t, r.unionByName(n), seeds).withColumn("tools", F.array_join("tools", ","))
