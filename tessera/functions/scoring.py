@@ -30,7 +30,7 @@ def age_days(date_iso: str | Column, last_relevant_iso: str | Column | None, now
     anchor = _c(date_iso) if last_relevant_iso is None else F.coalesce(F.nullif(_c(last_relevant_iso), F.lit("")), _c(date_iso))
     now = parsed_time(F.lit(now) if isinstance(now, str) else now)
     days = (now.cast("double") - parsed_time(anchor).cast("double")) / 86400.0
-    return F.coalesce(F.greatest(days, F.lit(0.0)), F.lit(UNKNOWN_AGE))
+    return F.when(days.isNull(), UNKNOWN_AGE).otherwise(F.greatest(days, F.lit(0.0)))
 
 
 def power_law_decay(age: str | Column, importance: str | Column) -> Column:

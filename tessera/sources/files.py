@@ -97,9 +97,9 @@ def scan_files(
 ) -> DataFrame:
     """(path, rel, length, modified, content) below ``root``: readable, not ignored unless included, not over the size limit."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
-    base = F.regexp_replace(F.lit(root), r"^file:/*", "/")
-    rel = F.expr("substring(path, instr(path, base) + length(base))")
-    df = df.withColumn("base", F.rtrim(base, F.lit("/"))).withColumn("rel", F.ltrim(rel, F.lit("/")))
+    base = re.sub("^[a-z0-9+.-]+:/*", "/", root).rstrip("/")
+    rel = F.substr("path", F.instr("path", base) + len(base) + 1)
+    df = df.withColumn("rel", rel)
     df = df.where((F.col("length") <= MAX_FILE_SIZE) & F.lower("rel").rlike(r"(?:%s)$" % "|".join(re.escape(s) for s in suffixes)))
     df = df.where(~F.lower("rel").endswith(".meta.json"))
     for d in skip_dirs:
@@ -355,7 +355,7 @@ def mine(files: DataFrame, agent: str, filed_at: str) -> DataFrame:
     """Records of files (rel, content): chunks with hashed ids, classified."""
     from tessera.functions.text import detect_content_type, record_id
 
-    docs = files.select(F.col("rel").alias("source_file"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    docs = files.select(F.col("rel").alias("source_file"), F.decode("content", "UTF-8").alias("text"))
     c = chunks(docs, "source_file", "text")
     return c.select(
         record_id(F.lit(agent), "source_file", "chunk_index").alias("id"), F.col("content").alias("text"), "source_file", "chunk_index",
