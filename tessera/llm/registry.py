@@ -9,6 +9,7 @@ from tessera.llm.language_id import op7_language_id
 from tessera.llm.license_scan import op9_license_scan
 from tessera.llm.line_dedup import op5_line_dedup
 from tessera.llm.media_columns import op2_media_columns
+from tessera.llm.oracles import ORACLE_SQL
 from tessera.llm.packed_ids import op6_packed_ids
 from tessera.llm.sharding import op1_shard_lookup
 from tessera.llm.token_counts import op3_token_counts
@@ -17,6 +18,6 @@ _ALL = (
     op1_shard_lookup, op2_media_columns, op3_token_counts, op4_decontaminate, op5_line_dedup,
     op6_packed_ids, op7_language_id, op8_config_packing, op9_license_scan, op10_jaccard_join,
 )
-QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES = {f.__name__: f for f in _ALL}
