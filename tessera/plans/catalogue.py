@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import kg_queries, rank_queries, text_queries
+from tessera.plans import kg_queries, rank_queries, service_queries, text_queries
 
 FLAGSHIP = "kg_query_as_of"
-_PARTS = (kg_queries, rank_queries, text_queries)
+_PARTS = (kg_queries, rank_queries, text_queries, service_queries)
 QUERIES: dict = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.items()}
