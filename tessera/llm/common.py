@@ -73,13 +73,14 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[..., tuple], *cols: str)
     return df.select(*cols).mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None, rounds: int = 50) -> DataFrame:
     """(node, component) of an undirected edge table (src, dst); component is the smallest node reached.
 
     Alternating large-star and small-star steps: each round is a few shuffles of the edges, and the
     edges become stars in about log(longest path) rounds.  Each star is made from a minimum that is
     aggregated before the shuffle and joined back, so a hub's edges are never gathered in one task.
-    Nodes without an edge to another node are left out.  Nulls never link.
+    Nodes without an edge to another node are left out.  Nulls never link.  ``rows``: about how many edges
+    there are, if that is known.
     """
     e = (
         edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
@@ -87,7 +88,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         .distinct()
     )
     spark = e.sparkSession
-    e = checkpointed(e)
+    e = checkpointed(e, rows)
     release(spark)
     state = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     before = e.agg(*state).first()
