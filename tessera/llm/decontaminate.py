@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, checkpointed, documents, table
 
-RANK = 96
+RANK = 64
 OVERSAMPLE = 16
 POWER = 2
 COSINE = 0.6
@@ -83,15 +84,16 @@ def passage_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         size = len(known)
-        sums, total = np.zeros(size + 1, np.int64), 0
+        sums, total = np.zeros(size, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 total += -(-len(words) // COUNTED)
-                ids = np.array([known.get(w, size) for w in words], np.int64)
-                seen = np.unique(np.arange(len(ids)) // COUNTED * (size + 1) + ids)
-                sums += np.bincount(seen % (size + 1), minlength=size + 1)
-        at = np.flatnonzero(sums[:size])
+                ids = np.fromiter(map(known.get, words, repeat(size)), np.int64, len(words))
+                inside = np.flatnonzero(ids < size)
+                seen = np.unique(inside // COUNTED * size + ids[inside])
+                np.add.at(sums, seen % size, 1)
+        at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*sums[at], total], pa.int64())], schema=schema)
 
     out, total = np.zeros(len(vocabulary), np.int64), 0
@@ -178,8 +180,8 @@ class Retrieval:
     def __init__(self, items: list[tuple[int, int, list[str]]], known: dict[str, int], idf: np.ndarray, space: np.ndarray):
         self.items, self.known, self.size = items, known, len(idf)
         self.idf = np.append(idf, 0.0)
-        self.space = np.vstack([space * idf[:, None], np.zeros(space.shape[1])])
-        sums = np.array([self.space[[known[w] for w in words]].sum(axis=0) for _, _, words in items])
+        self.space = np.ascontiguousarray((space * idf[:, None]).T)
+        sums = np.array([self.space[:, [known[w] for w in words]].sum(axis=1) for _, _, words in items])
         self.latent = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         self.mass = np.array([sum(idf[known[w]] ** 2 for w in words) for _, _, words in items])
         length = np.array([len(words) for _, _, words in items])
@@ -196,8 +198,7 @@ class Retrieval:
     def search(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
         """(item_id, cosine, share of the subsequence, share of the answer, first word), the best for each item."""
         words = words_of(text)
-        get, none = self.known.get, self.size
-        ids = np.array([get(w, none) for w in words], np.int64)
+        ids = np.fromiter(map(self.known.get, words, repeat(self.size)), np.int64, len(words))
         found: dict[int, tuple] = {}
         for low in range(0, len(words), SEGMENT):
             self._search(words, ids[low : low + SEGMENT + self.longest], low, found)
@@ -217,15 +218,15 @@ class Retrieval:
             if sums is None:
                 inside = ids < self.size  # other words have no place in the space
                 before = np.concatenate([[0], np.cumsum(inside)])
-                sums = np.zeros((before[-1] + 1, self.space.shape[1]))
-                np.cumsum(self.space[ids[inside]], axis=0, out=sums[1:])
+                sums = np.zeros((len(self.space), before[-1] + 1))  # a row for each dimension: sums run along memory
+                np.cumsum(np.take(self.space, ids[inside], axis=1), axis=1, out=sums[:, 1:])
             start, end, weight = start[heavy], end[heavy], weight[heavy]
-            v = sums[before[end]] - sums[before[start]]
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            cosine = v @ self.latent[of].T
-            near = (cosine >= COSINE) & (weight[:, None] >= MASS * self.mass[of])
-            for k, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                self._verify(int(of[j]), float(cosine[k, j]), words, low + int(start[k]), low + int(end[k]), found)
+            v = sums[:, before[end]] - sums[:, before[start]]
+            v /= np.maximum(np.linalg.norm(v, axis=0), 1e-9)
+            cosine = self.latent[of] @ v
+            near = (cosine >= COSINE) & (weight >= MASS * self.mass[of][:, None])
+            for j, k in zip(*(x.tolist() for x in np.nonzero(near))):
+                self._verify(int(of[j]), float(cosine[j, k]), words, low + int(start[k]), low + int(end[k]), found)
 
     def _verify(self, p: int, cosine: float, words: list[str], a: int, b: int, found: dict) -> None:
         item, _, passage = self.items[p]
