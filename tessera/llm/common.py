@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,8 +52,10 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to, now that a checkpoint replaced them.
 
     It does so only when the driver collects garbage, which may otherwise be long after the disk is full.
+    Python's references are given up by a thread that wakes every second, hence the wait.
     """
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
