@@ -184,12 +184,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = checkpointed(meetings(docs, frequent, percent), n)
     release(spark)
     n = pairs.count()
-    # a bucket joins one that its own center is in, so that few sets travel twice; centers only get smaller, so this ends
-    least = pairs.groupBy(F.col("key").alias("center")).agg(F.min("center").alias("into"))
-    pairs = pairs.join(least, "center", "left").select(F.coalesce("into", "center").alias("center"), "key", "n").distinct()
     classes = own.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"))
     centers = pairs.select(F.col("center").alias("key")).distinct().join(classes.select("key", "n").dropDuplicates(["key"]), "key")
-    members = pairs.unionByName(centers.withColumn("center", F.col("key")))
+    whole = pairs.unionByName(centers.withColumn("center", F.col("key")))
+    # a whole bucket, with its center, joins one that its center is in, so that few sets travel twice
+    least = pairs.groupBy(F.col("key").alias("center")).agg(F.min("center").alias("into"))
+    members = whole.join(least, "center", "left").select(F.coalesce("into", "center").alias("center"), "key", "n").distinct()
     rows = checkpointed(buckets(members, percent), n)
     wanted = checkpointed(rows.select("key").distinct().join(classes, "key").select("key", "doc_id"), n)
     marked = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("h")), bits_for(n)))

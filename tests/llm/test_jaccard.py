@@ -103,6 +103,24 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
 
 
+def test_chains_of_buckets(spark):
+    """C and x are near copies; C shares a passage with the smaller D, and D another one with the smaller E, none of which x has."""
+    rng = random.Random(2)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for _ in range(12):
+        p, q = fresh(9), fresh(9)
+        c = fresh(85) + p
+        x = c + fresh(2)
+        x[-7] += "y"  # the middle of p: none of its shingles is left
+        docs += [" ".join(w) for w in (fresh(77) + q, fresh(36) + p + fresh(36) + q, c, x)]
+    docs = list(enumerate(docs))
+    want = brute(docs)
+    assert all(want[d][1] == (d - 1 if d % 4 == 3 else d) for d, _ in docs)
+    got = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_odd_texts(odd, empty):
     rows = J.jaccard_components(odd).collect()
     assert len(rows) == odd.count() and J.jaccard_components(empty).count() == 0
