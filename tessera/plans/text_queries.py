@@ -129,7 +129,7 @@ SELECT item_id, doc_id, round(CASE WHEN len(k) > 0 THEN len(list_filter(k, lambd
 def fn_keyword_overlap(spark, sf_dir):
     q = view(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("k"))
     d = view(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "text")
-    return d.join(F.broadcast(q.limit(10_000))).select("item_id", "doc_id", F.round(T.keyword_overlap("k", "text"), 6).alias("overlap"))
+    return d.crossJoin(q).select("item_id", "doc_id", F.round(T.keyword_overlap("k", "text"), 6).alias("overlap"))
 
 
 @query("SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(text, ',', '')), '\\b(a|an|the|and)\\b', ' ', 'g'), '[^\\p{L}\\p{N}\\s_]', '', 'g'), '\\s+', ' ', 'g')) AS answer FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
