@@ -11,3 +11,11 @@ def test_keyword_overlap_takes_every_item(spark, tmp_path):
     spark.createDataFrame([(1, "un Gato", "es")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = Q.fn_keyword_overlap(spark, str(tmp_path)).agg(F.count("*"), F.count_distinct("item_id"), F.sum("overlap")).first()
     assert tuple(rows) == (10_001, 10_001, 10_001.0)
+
+
+def test_classification_takes_every_language(spark, tmp_path):
+    text = "Zora said yes.\nZora asked them.\nHey Zora, Zora wrote it."
+    docs = [(1, text, "en"), (2, text, "de"), (3, text + " Très bien.", "fr"), (4, text, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = Q.entity_classification(spark, str(tmp_path)).where("name = 'Zora'").collect()
+    assert sorted((r.doc_id, r.frequency, r.type) for r in rows) == [(d, 4, "person") for d in (1, 2, 3, 4)]
