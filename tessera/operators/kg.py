@@ -166,7 +166,7 @@ def resolve_profile(triples: DataFrame, profiles: DataFrame, seeds: DataFrame, d
 
 def cardinality_violations(triples: DataFrame, cardinality: DataFrame) -> DataFrame:
     """Current facts that break their predicate's cardinality (predicate, cardinality)."""
-    now = triples.where(is_current()).join(F.broadcast(cardinality.limit(100_000)), "predicate")
+    now = triples.where(is_current()).join(cardinality, "predicate")
     s, o = Window.partitionBy("subject", "predicate"), Window.partitionBy("object", "predicate")
     now = now.withColumn("per_subject", F.count("*").over(s)).withColumn("per_object", F.count("*").over(o))
     one_object = F.col("cardinality").isin("many-to-one", "one-to-one") & (F.col("per_subject") > 1)

@@ -65,7 +65,7 @@ def rerank(hits: DataFrame, features: DataFrame) -> DataFrame:
 
 def top_rooms(rooms: DataFrame, features: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, room): the rooms (room, summary) whose summaries share most keywords with the question."""
-    s = features.join(F.broadcast(rooms.limit(10_000))).withColumn("o", T.keyword_overlap("keywords", "summary"))  # rooms are a stated few
+    s = features.crossJoin(rooms).withColumn("o", T.keyword_overlap("keywords", "summary"))
     w = Window.partitionBy("query_id").orderBy(F.desc("o"), "room")
     return s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "room", F.round("o", 6).alias("overlap"))
 

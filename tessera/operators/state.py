@@ -25,7 +25,7 @@ def latest_state(revisions: DataFrame, scopes: DataFrame | None = None, session:
         return revisions.withColumn("__r", F.row_number().over(w)).where("__r = 1 AND payload IS NOT NULL").drop("__r")
     r = revisions.withColumn("__last", F.first("schema_id").over(w))
     s = scopes.select(F.col("schema_id").alias("__last"), F.col("scope").alias("__scope"))
-    r = r.join(F.broadcast(s.limit(100_000)), "__last", "left")
+    r = r.join(s, "__last", "left")
     fits = (F.coalesce("__scope", F.lit("global")) != "session") | F.col("session_id").isNull() | (F.col("session_id") == session)
     r = r.where(fits).withColumn("__r", F.row_number().over(w))
     return r.where("__r = 1 AND payload IS NOT NULL").drop("__r", "__last", "__scope")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.operators import dedup, entities, feedback, keywords, kg, metrics, ranking, rankers, state, vector
+from tessera.plans import rank_queries
 
 
 def one(spark, *cols):
@@ -70,6 +71,25 @@ def test_closure_and_profile(spark, graph):
     assert r.slots == "near" and r.tools == ["x", "y"]
 
 
+def test_no_row_of_a_small_side_is_cut(spark, graph, monkeypatch):
+    t, _ = graph
+    many = spark.range(100_000, numPartitions=1)
+    rules = many.select(F.concat(F.lit("p"), "id").alias("predicate"), F.lit("many-to-one").alias("cardinality"))
+    rules = rules.unionByName(spark.createDataFrame([("is_a", "many-to-one"), ("works_at", "many-to-one")], rules.schema)).coalesce(1)
+    assert ids(kg.cardinality_violations(t.withColumn("valid_to", F.lit(None).cast("string")), rules)) == ["t2", "t3"]
+    scopes = many.select(F.concat(F.lit("s"), "id").alias("schema_id"), F.lit("global").alias("scope"))
+    scopes = scopes.unionByName(spark.createDataFrame([("mine", "session")], "schema_id string, scope string").select("schema_id", "scope")).coalesce(1)
+    r = spark.createDataFrame([(1, "e", "mine", "a", "s1", 1), (2, "e", "mine", "b", "s2", 2)], "rev_id long, entity_id string, schema_id string, payload string, session_id string, created_at long")
+    assert [x.payload for x in state.latest_state(r, scopes, "s1").collect()] == ["a"]
+    rooms = many.limit(10_000).select(F.concat(F.lit("r"), "id").alias("room"), F.lit("nothing").alias("summary"))
+    rooms = rooms.unionByName(spark.createDataFrame([("last", "a chess club")], rooms.schema)).coalesce(1)
+    q = spark.createDataFrame([(1, ["chess"])], "query_id long, keywords array<string>")
+    assert rankers.top_rooms(rooms, q, 1).first().room == "last"
+    contexts = many.limit(10_001).select(F.concat(F.lit("ctx"), "id").alias("context_id"))
+    monkeypatch.setattr(rank_queries, "view", lambda *_: contexts)
+    assert rank_queries._near(spark, "").where("query_id = 'ctx1'").count() == 1 + 10_001 - 10
+
+
 def test_walk_damping(spark):
     e = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("c", "d", 0.7), ("a", "x", 1e-5)], "a string, b string, confidence double")
     got = {r.id: (r.hop, round(r.weight, 9)) for r in kg.similar_contexts(e, spark.createDataFrame([("a",)], "id string")).collect()}
