@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["arrow_map", "checkpoint_folder", "checkpointed", "connected_components", "documents", "release", "table"]
+__all__ = ["arrow_map", "checkpoint_folder", "checkpointed", "connected_components", "documents", "release", "slices", "table", "trim"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -25,10 +26,13 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a session without that setting (as in tests) gets one of its own."""
+    """The folder of spark.checkpoint.dir; a local session without that setting (as in tests) gets one of its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -40,11 +44,13 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` computed once into the shared folder, so that lost executors cost no rerun.
 
     ``rows``, where it is known how many there are about, keeps small tables from being cut into a file for every
-    shuffle partition.
+    shuffle partition: they are dealt to fewer tasks after the work, which keeps its own.
     """
     checkpoint_folder(df.sparkSession)
     if rows is not None:
-        df = df.coalesce(rows // FILE_ROWS + 1)
+        files = rows // FILE_ROWS + 8
+        if files * 4 < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(files)
     return df.checkpoint(eager=True)
 
 
@@ -59,6 +65,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows and bytes of an Arrow batch that are held as Python objects at once.
+ROWS, BYTES = 512, 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch within ``ROWS`` rows and about ``BYTES`` bytes, or of a single row."""
+    waiting = [(0, batch.num_rows)]
+    while waiting:
+        at, n = waiting.pop()
+        part = batch.slice(at, n)
+        if n > 1 and (n > ROWS or part.nbytes > BYTES):
+            waiting += [(at + n // 2, n - n // 2), (at, n // 2)]
+        elif n:
+            yield part
+
+
+def trim() -> None:
+    """Gives free memory of a worker back, which other tasks of the executor may need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, schema: str, fn: Callable[..., tuple], *cols: str) -> DataFrame:
     """``fn(*column lists) -> lists`` over Arrow batches of the columns ``cols``; rows go out as ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,10 +99,10 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[..., tuple], *cols: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in range(0, b.num_rows, 512):  # a bounded number of texts is held as Python strings
-                lists = [c.to_pylist() for c in b.slice(part, 512).columns]
-                made = fn(*lists)
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(made, out)], schema=out)
+            for part in slices(b):
+                made = fn(*(c.to_pylist() for c in part.columns))
+                yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(made, out)], schema=out)
+        trim()
 
     return df.select(*cols).mapInArrow(run, schema)
 

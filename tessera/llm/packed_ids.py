@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import documents
-from tessera.llm.word_cache import encoder
+from tessera.llm.common import documents, slices, trim
+from tessera.llm.encoding import encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 CLOSING = 50256
 WIDTH = 4096
-#: Tokens that are packed together in a task.
+#: Tokens that are packed together in a task; a sixteenth as many pieces, so that short documents stay bounded too.
 BLOCK = 8_000_000
 
 SCHEMA = (
@@ -122,15 +122,17 @@ def pack_ids(docs: DataFrame, tokenizer: str = TOKENIZER, closing: int = CLOSING
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = enc.encode(text) + end
-                pieces += [(doc, at // bytes_each, data[at : at + step]) for at in range(0, len(data), step)]
-                held += len(data) // bytes_each
-                if held >= block:
-                    yield from rows()
-                    pieces, held = [], 0
+            for part in slices(batch):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    data = enc.encode(text) + end
+                    pieces += [(doc, at // bytes_each, data[at : at + step]) for at in range(0, len(data), step)]
+                    held += len(data) // bytes_each
+                    if held >= block or len(pieces) >= block // 16:
+                        yield from rows()
+                        pieces, held = [], 0
         if pieces:
             yield from rows()
+        trim()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,7 +7,7 @@ from hypothesis import strategies as st
 
 from tessera.llm import packed_ids as P
 from tessera.llm.token_counts import PrefixTable, counter, prefix_tables, token_counts
-from tessera.llm.word_cache import encoder
+from tessera.llm.encoding import encoder
 
 from .conftest import ODD
 
@@ -25,6 +27,43 @@ def test_every_prefix(text, budget):
     assert t.fit(budget) == max(p for p, n in enumerate(want) if n <= budget)
 
 
+@settings(max_examples=150, deadline=None)
+@given(TEXTS, st.integers(0, 8))
+def test_count_and_fit(text, budget):
+    c = counter()
+    t = PrefixTable(c, text)
+    assert c.count_and_fit(text, budget) == (t.total, t.fit(budget))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Ab3x" * 250_000, "<|endoftext|>" * 100_000, "漢字かな" * 25_000, " " * 300_000 + "x", "a\n \n" * 50_000, "x" * 100_000 + "<|endoftext|>" * 3],
+    ids=["one word", "special strings", "no blanks", "blanks", "runs", "word and special"],
+)
+def test_long_texts_take_time_in_proportion(text):
+    c = counter()
+    began = time.process_time()
+    total, p = c.count_and_fit(text, 512)
+    assert time.process_time() - began < 20
+    if len(set(text)) > 1 and text[0] != "x":
+        assert total == len(c.tok.encode(text, add_special_tokens=False).ids)
+    ids = lambda p: len(c.tok.encode(text[:p], add_special_tokens=False).ids)
+    assert ids(p) <= 512 < ids(p + 1)
+
+
+def test_every_token_is_its_own_encoding():
+    c = counter()
+    assert all(c.alone[t] for t in c.id.values())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abcdeinrstéß .,'"), max_size=40) | st.text(max_size=20))
+def test_ids_of_any_text(text):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = encoder(name)
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tok.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXTS)
 def test_cached_ids(text):
@@ -42,7 +81,8 @@ def test_counts_table(odd, empty):
             text = ODD[r.doc_id] or ""
             n = len(c.tok.encode(text, add_special_tokens=False).ids)
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 3)
-    assert prefix_tables(odd).where("counts[size(counts) - 1] > 0").count() > 5
+    stored = {r.doc_id: r.counts for r in prefix_tables(odd).collect()}
+    assert len(stored[15]) == len(ODD[15]) + 1 and stored[0] == [0] and stored[3] == [0, 1]
 
 
 @settings(max_examples=100, deadline=None)
