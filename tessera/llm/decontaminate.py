@@ -12,9 +12,13 @@
    the text: at least ``LCS`` of the passage's words; or, for paraphrases, at least ``LCS_LOOSE`` of
    them if also ``ANSWER`` of the passage's most distinctive words (its answer) occur.
 
-Benchmark passages are handled in blocks of ``BLOCK``, so what is sent to the workers is bounded; all
-documents meet all of them.  Null or empty texts on either side match nothing.  Repeated rows of a
-document give their matches once; ties go to the earliest window.  Other columns are ignored.
+Documents are read as arrays of word numbers, made for many texts at once by rolling hashes; words become
+strings only where a candidate is verified.  Benchmark passages are handled in blocks of ``BLOCK``, so what
+is sent to the workers is bounded: documents are read once to count words and once for each block, each of
+which has a latent space of its own.  Null or empty texts on either side match nothing.  Repeated rows of a
+document give their matches once; ties go to the earliest window.  Documents without a doc_id are searched
+and come out under a null doc_id; ``clean`` tells rows apart by doc_id and text, so of rows that share a
+doc_id, or have none, only those go that match.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +26,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, checkpointed, documents, table
+from tessera.llm.common import arrow_map, checkpointed, documents, slices, table, trim
+from tessera.llm.shingles import run_hashes
 
 RANK = 64
 OVERSAMPLE = 16
@@ -41,7 +46,7 @@ LCS_LOOSE = 0.45
 ANSWER = 0.75
 ANSWER_WORDS = 8
 PASSAGE = 48
-BLOCK = 4000
+BLOCK = 32_000
 #: Words of a text that are searched at once.
 SEGMENT = 16384
 #: Words of a document's passage when document frequencies are counted.
@@ -76,27 +81,78 @@ def passages(benchmark: DataFrame) -> DataFrame:
     return arrow_map(benchmark, "item_id long, passage int, words array<string>", run, "item_id", "text").distinct()
 
 
-def passage_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
+_made: dict = {}
+
+
+def _inside() -> np.ndarray:
+    """By code point, whether it belongs to a word."""
+    if "inside" not in _made:
+        _made["inside"] = np.fromiter((c == 95 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    return _made["inside"]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of all texts in order, and where each text's words begin (one more entry for the end)."""
+    lower = [(t or "").lower() for t in texts]
+    code = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], _inside()[code], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edge[::2], edge[1::2]
+    at = np.cumsum([0, *(len(t) + 1 for t in lower)])
+    return run_hashes(code, first, last), np.searchsorted(first, at)
+
+
+class Vocabulary:
+    """Numbers of words, in the order of their hashes; ``size`` stands for all other words."""
+
+    def __init__(self, words: list[str]):
+        hashes = word_hashes(["\n".join(words)])[0]
+        order = np.argsort(hashes)
+        self.words = [words[i] for i in order]
+        self.number = {w: i for i, w in enumerate(self.words)}
+        self.size = len(words)
+        self.bits = max(8, (4 * self.size).bit_length())
+        self.hashes = np.append(hashes[order], np.zeros(1, np.uint64))
+        slot = self.hashes[:-1] >> np.uint64(64 - self.bits)
+        self.first = np.searchsorted(slot, np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> np.uint64(64 - self.bits)
+        at = self.first[slot]
+        out = np.full(len(hashes), self.size, np.int32)
+        for d in range(self.most):
+            here = np.minimum(at + d, self.size)
+            hit = (self.hashes[here] == hashes) & (here < self.size)
+            out[hit] = here[hit]
+        return out
+
+
+def passage_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """In how many passages of ``docs`` each word occurs, and the number of passages; every task adds up first."""
-    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = pa.schema([("word", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        size = len(known)
+        size = known.size
         sums, total = np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                total += -(-len(words) // COUNTED)
-                ids = np.fromiter(map(known.get, words, repeat(size)), np.int64, len(words))
-                inside = np.flatnonzero(ids < size)
-                seen = np.unique(inside // COUNTED * size + ids[inside])
-                np.add.at(sums, seen % size, 1)
+            for part in slices(batch):
+                hashes, begin = word_hashes(part.column(0).to_pylist())
+                n = np.diff(begin)
+                each = -(-n // COUNTED)
+                passage = (np.arange(len(hashes)) - np.repeat(begin[:-1], n)) // COUNTED + np.repeat(np.cumsum(each) - each, n)
+                ids = known.numbers(hashes)
+                inside = ids < size
+                seen = np.unique(passage[inside] * size + ids[inside])
+                sums += np.bincount(seen % size, minlength=size)
+                total += int(each.sum())
         at = np.flatnonzero(sums)
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*sums[at], total], pa.int64())], schema=schema)
 
-    out, total = np.zeros(len(vocabulary), np.int64), 0
+    out, total = np.zeros(vocabulary.size, np.int64), 0
     for word, n in docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n")).collect():
         if word < 0:
             total = n
@@ -174,39 +230,60 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+class Words:
+    """The words of a text, split when first asked for."""
+
+    def __init__(self, text: str | None):
+        self.text = text
+
+    @cached_property
+    def all(self) -> list[str]:
+        return words_of(self.text)
+
+
+def window_sizes(length: np.ndarray) -> np.ndarray:
+    """The window of a passage of so many words: 8 times a power of the square root of 2, not below it."""
+    step = np.ceil(np.maximum(0, 2 * np.log2(np.maximum(length, 8) / 8)) - 1e-9)
+    return np.ceil(8 * 2 ** (step / 2) - 1e-9).astype(int)
+
+
 class Retrieval:
     """A block of passages in their latent space, and the search of texts for them."""
 
-    def __init__(self, items: list[tuple[int, int, list[str]]], known: dict[str, int], idf: np.ndarray, space: np.ndarray):
-        self.items, self.known, self.size = items, known, len(idf)
+    def __init__(self, items: list[tuple[int, int, list[str]]], vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray):
+        known = vocabulary.number
+        self.items, self.size = items, vocabulary.size
         self.idf = np.append(idf, 0.0)
         self.space = np.ascontiguousarray((space * idf[:, None]).T)
-        sums = np.array([self.space[:, [known[w] for w in words]].sum(axis=1) for _, _, words in items])
+        ids = [np.array([known[w] for w in words]) for _, _, words in items]
+        sums = np.array([self.space[:, i].sum(axis=1) for i in ids])
         self.latent = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        self.mass = np.array([sum(idf[known[w]] ** 2 for w in words) for _, _, words in items])
-        length = np.array([len(words) for _, _, words in items])
+        self.mass = np.array([(idf[i] ** 2).sum() for i in ids])
+        size = window_sizes(np.array([len(i) for i in ids]))
         self.windows = []
-        for w in sorted({max(8, 1 << (int(n) - 1).bit_length()) for n in length}):
-            of = np.flatnonzero((length <= w) & (length > (w // 2 if w > 8 else 0)))
+        for w in np.unique(size).tolist():
+            of = np.flatnonzero(size == w)
             self.windows.append((w, of, float(self.mass[of].min()) * MASS))
         self.longest = self.windows[-1][0]
+        self.least = min(least for _, _, least in self.windows)
         self.answers = []
         for _, _, words in items:
             rare = sorted(set(words), key=lambda w: (-idf[known[w]], w))[:ANSWER_WORDS]
             self.answers.append(set(rare))
 
-    def search(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
-        """(item_id, cosine, share of the subsequence, share of the answer, first word), the best for each item."""
-        words = words_of(text)
-        ids = np.fromiter(map(self.known.get, words, repeat(self.size)), np.int64, len(words))
+    def search(self, text: str | None, ids: np.ndarray) -> list[tuple[int, float, float, float, int]]:
+        """(item_id, cosine, share of the subsequence, share of the answer, first word), the best for each item; ``ids`` are the text's word numbers."""
+        words = Words(text)
         found: dict[int, tuple] = {}
-        for low in range(0, len(words), SEGMENT):
+        for low in range(0, len(ids), SEGMENT):
             self._search(words, ids[low : low + SEGMENT + self.longest], low, found)
         return [(item, *found[item]) for item in sorted(found)]
 
-    def _search(self, words: list[str], ids: np.ndarray, low: int, found: dict) -> None:
+    def _search(self, words: Words, ids: np.ndarray, low: int, found: dict) -> None:
         """Windows that start in one segment of a text."""
         mass = np.concatenate([[0.0], np.cumsum(self.idf[ids] ** 2)])
+        if mass[-1] < self.least:
+            return
         sums = None
         for w, of, least in self.windows:
             start = np.arange(0, min(SEGMENT, max(1, len(ids) - w // 2)), max(1, w // 4))
@@ -228,11 +305,10 @@ class Retrieval:
             for j, k in zip(*(x.tolist() for x in np.nonzero(near))):
                 self._verify(int(of[j]), float(cosine[j, k]), words, low + int(start[k]), low + int(end[k]), found)
 
-    def _verify(self, p: int, cosine: float, words: list[str], a: int, b: int, found: dict) -> None:
+    def _verify(self, p: int, cosine: float, words: Words, a: int, b: int, found: dict) -> None:
         item, _, passage = self.items[p]
         reach = max(4, len(passage) // 3)
-        low, high = max(0, a - reach), min(len(words), b + reach)
-        part = words[low:high]
+        part = words.all[max(0, a - reach) : b + reach]
         share = lcs(passage, part) / len(passage)
         answer = len(self.answers[p].intersection(part)) / len(self.answers[p])
         if share >= LCS or (share >= LCS_LOOSE and answer >= ANSWER):
@@ -244,27 +320,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: int =
     """doc_id, item_id, cosine, lcs_share, answer_share, first_word: every document and item that match."""
     spark = docs.sparkSession
     sc = spark.sparkContext
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = checkpointed(passages(benchmark))
-    n_blocks = max(1, -(-cuts.count() // block))
-    cuts = cuts.withColumn("block", F.pmod(F.xxhash64("item_id", "passage"), F.lit(n_blocks)))
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word int"
     out = spark.createDataFrame([], schema)
-    for k in range(n_blocks):
+    every = [r[0] for r in cuts.select(F.explode("words")).distinct().collect()]  # the benchmark's words
+    if every:
+        vocabulary = Vocabulary(sorted(every))
+        n, total = passage_frequencies(docs, vocabulary)
+        idf_of = dict(zip(vocabulary.words, (np.log((total + 1) / (n + 1)) + 1e-3).tolist()))
+    n_blocks = max(1, -(-cuts.count() // block))
+    cuts = cuts.withColumn("block", F.pmod(F.xxhash64("item_id", "passage"), F.lit(n_blocks)))
+    for k in range(n_blocks if every else 0):
         own = cuts.where(F.col("block") == k)
         items = sorted((r.item_id, r.passage, list(r.words)) for r in own.collect())  # about ``block`` passages
         if not items:
             continue
-        vocabulary = sorted({w for _, _, words in items for w in words})
-        known = {w: i for i, w in enumerate(vocabulary)}
-        n, total = passage_frequencies(docs, vocabulary)
-        idf = np.log((total + 1) / (n + 1)) + 1e-3
-        space = randomised_svd(own, known, idf, rank)
-        sent = sc.broadcast((items, known, idf, space))
+        vocabulary = Vocabulary(sorted({w for _, _, words in items for w in words}))
+        idf = np.array([idf_of[w] for w in vocabulary.words])
+        space = randomised_svd(own, vocabulary.number, idf, rank)
+        sent = sc.broadcast((items, vocabulary, idf, space))
 
         def run(ids, texts, sent=sent, made=[]):
             if not made or made[0] is not sent:
-                made[:] = [sent, Retrieval(*sent.value)]
-            rows = [(i, *m) for i, t in zip(ids, texts) if i is not None for m in made[1].search(t)]
+                made[:] = [sent, sent.value[1], Retrieval(*sent.value)]
+            hashes, begin = word_hashes(texts)
+            numbers = made[1].numbers(hashes)
+            rows = [(i, *m) for i, t, a, b in zip(ids, texts, begin.tolist(), begin[1:].tolist()) for m in made[2].search(t, numbers[a:b])]
             return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
 
         out = out.unionByName(arrow_map(docs, schema, run, "doc_id", "text"))
@@ -274,8 +356,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: int =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that match an item."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that match an item."""
+    key = F.xxhash64("doc_id", "text")
+    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

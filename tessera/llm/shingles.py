@@ -20,6 +20,43 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Characters that are hashed with one table of powers.
+HASHED = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_made: dict = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64 and of its inverse; kept up to a fixed size only."""
+    if n > HASHED or "powers" not in _made:
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, HASHED), base, np.uint64)
+            steps[0] = 1
+            made.append(np.cumprod(steps))
+        if n > HASHED:
+            return made[0][:n], made[1][:n]
+        _made["powers"] = made
+    return _made["powers"][0][:n], _made["powers"][1][:n]
+
+
+def run_hashes(code: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each code[first:last], runs in order, wherever they stand."""
+    out = np.zeros(len(first), np.uint64)
+    k = 0
+    while k < len(first):  # as many runs as one table of powers serves, or a single longer one
+        a = int(first[k])
+        m = max(k + 1, int(np.searchsorted(last, a + HASHED, side="right")))
+        part = code[a : int(last[m - 1])]
+        up, down = _powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up, out=sums[1:])
+        begin = first[k:m] - a
+        out[k:m] = (sums[last[k:m] - a] - sums[begin]) * down[begin]
+        k = m
+    return mixed(out)
+
+
 def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of every ``k`` words (A-Z lower-cased, cut at ASCII blanks); fewer words are one shingle."""
     words = np.array([_hash(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], np.uint64)
