@@ -3,9 +3,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
-from tessera.llm.config_packing import Pricing, best_fit, pack, places, plan_packing
-from tessera.llm.word_cache import encoder
+from tessera.llm.config_packing import Pricing, best_fit, pack, places, plan_packing, program
+from tessera.llm.encoding import encoder
 
 from .conftest import ODD
 
@@ -48,6 +49,29 @@ def test_perfect_fit_is_found():
     assert sum(n for _, n in plan_packing({1025: 100, 1023: 100, 512: 40}, 2048)) == 110
 
 
+@pytest.mark.parametrize("n", [10_000, 250_000, 25_000_000])
+def test_the_program_places_most_tokens(n):
+    """Lengths spread as documents' are; never more sequences than by best fit alone."""
+    rng = np.random.default_rng(n)
+    sizes = np.clip(rng.lognormal(6.2, 1.1, 200_000).astype(int), 2, 40_000) % 2048
+    counts = np.bincount(sizes, minlength=2048) * (n / len(sizes))
+    h = {l: int(c + rng.random()) for l, c in enumerate(counts) if l and c + rng.random() >= 1}
+    h = {l: c for l, c in h.items() if c}
+    lengths = np.array(sorted(h))
+    rest = np.array([h[l] for l in lengths])
+    total = int((lengths * rest).sum())
+    made = program(lengths, rest, 2048, 60)
+    assert sum(k * sum(c) for c, k in made) > total * 0.75
+    plan = plan_packing(h, 2048)
+    assert used(plan) == Counter(h) and all(sum(c) <= 2048 for c, _ in plan)
+    assert sum(k for _, k in plan) <= sum(k for _, k in best_fit([], dict(h), 2048))
+
+
+def test_lengths_that_never_fill_a_sequence():
+    assert sum(n for _, n in plan_packing({1000: 1000}, 2048)) == 500
+    assert sum(n for _, n in plan_packing({1500: 7, 600: 9}, 2048)) == 10
+
+
 def test_places_are_gapless():
     keys, seqs, offsets = places([([5, 3], 4), ([3, 3], 2)])
     assert sorted(zip((keys >> 40).tolist(), offsets.tolist())) == [(3, 0), (3, 3), (3, 5), (5, 0)]
