@@ -1,7 +1,7 @@
 """License scan by diagonal voting, in DataFrame functions alone.
 
-Every rolling hash of ``K`` words of a text meets the same hashes of the templates in one broadcast
-join (the templates are fixed, and their number of words is checked).  A meeting votes for the
+The rolling hashes of ``K`` words of a text are looked up among the templates' (which are fixed, and whose
+number of words is checked), and those found meet the templates' places in one broadcast join.  A meeting votes for the
 diagonal "word in the text minus word in the template".  Base phrases stand where a diagonal has all
 votes of its phrase, that is, all words consecutively.  For longer notices, neighbouring diagonals
 (shifted by a few inserted or dropped words) are merged, and a span is verified by its share of the
@@ -19,12 +19,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import checkpointed, documents
 
 K = 3
 SHIFT = 3
 SHARE = 0.6
-LARGEST = 100_000
+LARGEST = 20_000
 
 #: Phrases of the base labels.
 BASE = [
@@ -63,13 +63,6 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def grams_of(words: Column, k: int = K) -> Column:
-    """Array of hashes of every ``k`` words in a row."""
-    last = F.size(words) - k
-    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
-
-
 def templates(spark: SparkSession, base: list = BASE, notices: list = NOTICES, k: int = K) -> DataFrame:
     """(gram, template, place, words): every ``k`` words of every template."""
     rows = []
@@ -85,14 +78,29 @@ def templates(spark: SparkSession, base: list = BASE, notices: list = NOTICES, k
     return df.withColumn("gram", F.xxhash64(*(F.get("words", F.lit(j)) for j in range(k))))
 
 
-def votes(docs: DataFrame, base: list = BASE, notices: list = NOTICES, k: int = K) -> DataFrame:
-    """(doc_id, text_hash, template, diagonal, votes) where anything met."""
-    spark = docs.sparkSession
-    t = templates(spark, base, notices, k).withColumnRenamed("words", "template_words")
+def meetings(docs: DataFrame, base: list = BASE, notices: list = NOTICES, k: int = K) -> DataFrame:
+    """(doc_id, text_hash, n_words, met) of every row; met: place and words of the k-grams whose hash a template has.
+
+    The hashes of the templates are few and fixed, so the test is a look-up within the expression: only what meets a
+    template leaves the text's row, and no row carries the text's words along.
+    """
+    hashes = [r[0] for r in templates(docs.sparkSession, base, notices, k).select("gram").distinct().collect()]  # LARGEST at most
+    words = F.col("words")
+    last = F.size(words) - k
+    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    near = F.filter(at, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))).isin(hashes))
+    met = F.transform(near, lambda i: F.struct(i.alias("at"), F.slice(words, i + 1, k).alias("words")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    grams = rows.select("doc_id", "text_hash", "words", F.posexplode(grams_of(F.col("words"), k)).alias("at", "gram"))
-    met = grams.join(F.broadcast(t), "gram").where(F.slice("words", F.col("at") + 1, k) == F.col("template_words"))
-    return met.groupBy("doc_id", "text_hash", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+    return rows.select("doc_id", "text_hash", F.size(words).cast("long").alias("n_words"), met.alias("met"))
+
+
+def votes(met: DataFrame, base: list = BASE, notices: list = NOTICES, k: int = K) -> DataFrame:
+    """(doc_id, text_hash, template, diagonal, votes) where anything met."""
+    t = templates(met.sparkSession, base, notices, k).withColumnRenamed("words", "template_words")
+    grams = met.select("doc_id", "text_hash", F.inline("met"))
+    grams = grams.withColumn("gram", F.xxhash64(*(F.get("words", F.lit(j)) for j in range(k))))
+    grams = grams.join(F.broadcast(t), "gram").where(F.col("words") == F.col("template_words"))
+    return grams.groupBy("doc_id", "text_hash", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.size(F.collect_set("place")).alias("votes")
     )
 
@@ -117,7 +125,8 @@ def spans(found: DataFrame, base: list = BASE, notices: list = NOTICES, k: int =
 def scan(docs: DataFrame, base: list = BASE, notices: list = NOTICES, k: int = K, share: float = SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs``."""
     label = F.get(F.array(*(F.lit(x) for x, _ in [*base, *notices])), F.col("template"))
-    found = spans(votes(docs, base, notices, k), base, notices, k).withColumn("is_base", F.col("template") < len(base))
+    met = checkpointed(meetings(docs, base, notices, k))  # small rows: texts are read once
+    found = spans(votes(met, base, notices, k), base, notices, k).withColumn("is_base", F.col("template") < len(base))
     found = found.where(F.when(F.col("is_base"), F.col("n_whole") > 0).otherwise(F.col("share") >= share))
     of_base = lambda c: F.when(F.col("is_base"), c)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
@@ -125,7 +134,7 @@ def scan(docs: DataFrame, base: list = BASE, notices: list = NOTICES, k: int = K
         F.sum(of_base(F.col("n_whole"))).alias("n_base"), F.min(of_base(F.col("first_whole"))).alias("first_word"), F.max(of_base(F.col("last_whole"))).alias("last_word"),
         joined(of_base(label)).alias("base_labels"), joined(label).alias("labels"), F.max(F.when(F.col("is_base"), 1.0).otherwise(F.col("share"))).alias("score"),
     )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("__text"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    rows = met.select("doc_id", F.col("text_hash").alias("__text"), "n_words")
     out = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),

@@ -58,14 +58,20 @@ def _netpbm(data: bytes) -> np.ndarray:
         most, at = int(m[1]), m.end()
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = w * h * depth
+    if not n or not 0 < most < 1 << 16:
+        raise ValueError("no samples, or a largest value out of range")
     if kind == b"P1":
         bits = re.sub(rb"#[^\n]*\n|\s", b"", data[at:])[:n]
         v = 1 - (np.frombuffer(bits, np.uint8) - 48)
+        if (v > 1).any():
+            raise ValueError("a bit is neither 0 nor 1")
     elif kind == b"P4":
         rows = np.frombuffer(data, np.uint8, h * -(-w // 8), at + 1).reshape(h, -1)
         v = 1 - np.unpackbits(rows, axis=1)[:, :w].ravel()
     elif kind in (b"P2", b"P3"):
         v = np.array(re.sub(rb"#[^\n]*\n", b" ", data[at:]).split()[:n], np.int64)
+        if ((v < 0) | (v > most)).any():
+            raise ValueError("a sample out of range")
     else:
         v = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at + 1)
     if len(v) != n:
@@ -142,7 +148,7 @@ def tiles(media: DataFrame, id_col: str = "media_id", data_col: str = "data", si
             try:
                 image = decode(data or b"")
                 made = (*image.shape[:2], tile(image, size), difference_hash(gray(image)))
-            except (ValueError, IndexError):
+            except (ValueError, IndexError, ArithmeticError, MemoryError):  # whatever a damaged file may raise
                 made = (None,) * 4
             for column, v in zip(out, made):
                 column.append(v)

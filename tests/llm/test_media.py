@@ -45,6 +45,16 @@ def test_damaged_media_are_null(spark):
     assert got == {1: None, 2: None, 3: None, 4: "0" * 16}
 
 
+@pytest.mark.parametrize(
+    "data",
+    [b"P5 0 0\n255\n", b"P2 1 1\n255\n99999999999999999999999", b"P2 1 1\n0\n0", b"P2 1 1\n70000\n1", b"P1 2 1\n1x", b"P2 1 1\n9\n12", b"P6 99999999 99999999\n255\nx",
+     b"BM" + bytes(60), b"P5", b"P4 8 9\n1"],
+)
+def test_media_that_cannot_be_decoded(spark, data):
+    row = M.tiles(spark.createDataFrame([(1, bytearray(data))], "media_id long, data binary")).first()
+    assert row.media_id == 1 and row.tile is None and row.dhash is None and row.height is None
+
+
 def test_tile_is_npy(spark):
     import io
 
