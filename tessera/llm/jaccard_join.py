@@ -7,14 +7,17 @@
    only choose the order, and any order gives the same links.
 3. Those that meet at a shingle are cut into runs of compatible sizes, and a run belongs to the
    bucket of its smallest set.  A pair that may link shares at least one bucket.
-4. A bucket stores its sets in a prefix tree, most common shingles first.  Every set walks the tree
-   once, sharing the partial overlap of a branch, and leaves a branch when its size, the shingles
+4. A bucket stores its sets in a prefix tree, most common shingles first.  All sets walk the tree
+   together, sharing the partial overlaps of a branch, and a set leaves a branch when its size, the shingles
    that remain, or an existing connection show that nothing there can add a link.
    Buckets are cut into blocks of bounded size that meet pair by pair, sizes permitting.
 5. Links, as a forest per block, give the connected components.
 
-Sets only travel for classes that share a bucket.  Null texts and texts without words are empty
-sets, linked with nothing.  Repeated rows stay; they share their class.  Other columns are ignored.
+Sets only travel for classes that share a bucket.  Classes are told apart by 64-bit hashes of their sets, and
+shingles by 64-bit hashes of their words: up to collisions of these the join is exact.  Null texts and texts
+without words are empty sets, linked with nothing.  Repeated rows stay; they share their class.  Rows without
+a doc_id link as others do, also as the bridge between two documents, but give a group no name: a group
+of such rows alone has a null component_id.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,50 +100,87 @@ class PrefixTree:
                 waiting += [(a, b, end, children) for a, b in zip(cuts, cuts[1:])]
 
     def links(self) -> list[tuple[int, int]]:
-        """A forest of links, as positions in ``sets``, that connects what all links connect."""
+        """A forest of links, as positions in ``sets``, that connects what all links connect.
+
+        The tree is walked once by all sets together: at a node, those still in question and their overlaps so far are
+        arrays, and sets leave where even the shingles that remain can't add a link, or where all is connected already.
+        """
         n, percent = len(self.leaves), self.percent
-        label = np.arange(n)
-        out = []
-        member = np.zeros(self.distinct, bool)
-        change = np.arange(n)
-        for i in range(n):
-            s, size = self.leaves[i], int(self.leaf_size[i])
-            member[s] = True
-            waiting = [(0, 0)]
-            while waiting:
-                at, overlap = waiting.pop()
-                begin, end, low, high, children, least, most, longest = self.nodes[at]
-                if label[low] == label[i] and change[low] == change[high - 1]:
-                    continue  # all connected already
-                if most * 100 < percent * size or size * 100 < percent * least:
-                    continue
-                if end > begin:
-                    t = self.leaves[low]
-                    overlap += int(np.count_nonzero(member[t[begin:end]]))
-                    left = len(s) - int(np.searchsorted(s, t[end - 1], side="right"))
-                    if overlap + min(left, longest - end) < needed(size, least, percent):
-                        continue
-                if children:
-                    waiting += [(c, overlap) for c in children]
-                elif label[low] != label[i] and overlap >= needed(size, int(self.leaf_size[low]), percent):
+        groups = Groups(n)
+        label = groups.label
+        out: list[tuple[int, int]] = []
+        at = np.concatenate([[0], np.cumsum([len(s) for s in self.leaves])])
+        whole = np.concatenate([*self.leaves, np.zeros(0, np.int64)])
+        order = np.argsort(whole, kind="stable")  # leaves by shingle
+        holders = np.searchsorted(at, order, side="right") - 1
+        first = np.searchsorted(whole[order], np.arange(self.distinct + 1))
+        size = self.leaf_size
+        count = np.zeros(n, np.int32)
+        waiting = [(0, np.arange(n), np.zeros(n, np.int32))]
+        while waiting and groups.number > 1:
+            node, sets, overlap = waiting.pop()
+            begin, end, low, high, children, least, most, longest = self.nodes[node]
+            keep = (sets < high - 1) | (not children)  # a pair is met at the leaf of its later set
+            keep &= (most * 100 >= percent * size[sets]) & (size[sets] * 100 >= percent * least)
+            if low + 1 == high or groups.uniform(low, high):
+                keep &= label[sets] != label[low]
+            sets, overlap = sets[keep], overlap[keep]
+            if not len(sets):
+                continue
+            if end > begin:
+                hold = [holders[first[v] : first[v + 1]] for v in self.leaves[low][begin:end].tolist()]
+                for h in hold:
+                    count[h] += 1
+                overlap = overlap + count[sets]
+                for h in hold:
+                    count[h] = 0
+            if children:
+                keep = overlap + (longest - end) >= needed(size[sets], np.maximum(least, -(-size[sets] * percent // 100)), percent)
+                sets, overlap = sets[keep], overlap[keep]
+                waiting += [(c, sets, overlap) for c in reversed(children)]
+            else:
+                found = sets[(sets < low) & (overlap >= needed(size[sets], size[low], percent))]
+                for i in found[np.unique(label[found], return_index=True)[1]].tolist():
                     out.append((self.order[i], self.order[low]))
-                    label[label == label[low]] = label[i]
-                    change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
-            member[s] = False
-            if change[-1] == 0:
-                break
+                    groups.join(i, low)
         return out
 
 
+class Groups:
+    """Connected groups of 0 .. n-1 as labels that always hold; the smaller group takes the larger one's label."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.members: dict[int, list[int]] = {}
+        self.number = n
+
+    def join(self, a: int, b: int) -> None:
+        a, b = int(self.label[a]), int(self.label[b])
+        if a == b:
+            return
+        x, y = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(x) < len(y):
+            a, b, x, y = b, a, y, x
+        self.label[y] = a
+        x += y
+        self.members[a] = x
+        self.number -= 1
+
+    def uniform(self, low: int, high: int) -> bool:
+        """Whether low .. high-1 are one group; a look at the ends settles most cases."""
+        return self.label[low] == self.label[high - 1] and bool((self.label[low:high] == self.label[low]).all())
+
+
 def sets_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, key and the prefix of every document's set in the order by hash alone."""
+    """doc_id, rid, n, key and the prefix of every document's set in the order by hash alone; rid stands for doc_id and text."""
 
-    def run(ids, texts):
+    def run(ids, hashes, texts):
         sets = [shingle_set(t) for t in texts]
         firsts = [prefix(s, None, percent).view(np.int64) if prefix_usable(len(s), percent) else [] for s in sets]
-        return ids, [len(s) for s in sets], [set_key(s) for s in sets], firsts
+        return ids, hashes, [len(s) for s in sets], [set_key(s) for s in sets], firsts
 
-    return arrow_map(docs, "doc_id long, n long, key long, first array<long>", run, "doc_id", "text")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    return arrow_map(rows, "doc_id long, rid long, n long, key long, first array<long>", run, "doc_id", "rid", "text")
 
 
 def prefix_usable(n: int, percent: int) -> bool:
@@ -184,23 +224,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = checkpointed(meetings(docs, frequent, percent), n)
     release(spark)
     n = pairs.count()
-    classes = own.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"))
+    classes = own.where("n > 0").groupBy("key", "n").agg(F.min("rid").alias("rid"))  # any row of the class has its set
     centers = pairs.select(F.col("center").alias("key")).distinct().join(classes.select("key", "n").dropDuplicates(["key"]), "key")
     whole = pairs.unionByName(centers.withColumn("center", F.col("key")))
     # a whole bucket, with its center, joins one that its center is in, so that few sets travel twice
     least = pairs.groupBy(F.col("key").alias("center")).agg(F.min("center").alias("into"))
     members = whole.join(least, "center", "left").select(F.coalesce("into", "center").alias("center"), "key", "n").distinct()
     rows = checkpointed(buckets(members, percent), n)
-    wanted = checkpointed(rows.select("key").distinct().join(classes, "key").select("key", "doc_id"), n)
-    marked = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("h")), bits_for(n)))
+    wanted = checkpointed(rows.select("key").distinct().join(classes, "key").select("key", "rid"), n)
+    marked = spark.sparkContext.broadcast(bitmap(wanted.select(F.col("rid").alias("h")), bits_for(n)))
 
-    def maybe(ids, hashes, texts):
+    def maybe(hashes, texts):
         yes = in_bitmap(marked.value, np.array(hashes, np.int64).view(np.uint64))
-        some = [(i, shingle_set(t)) for i, t, y in zip(ids, texts, yes) if y and i is not None]
-        return [i for i, _ in some], [set_key(s) for _, s in some], [s.tobytes() for _, s in some]
+        sets = [shingle_set(t) for t, y in zip(texts, yes) if y]
+        return [set_key(s) for s in sets], [s.tobytes() for s in sets]
 
-    candidates = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
-    sets = arrow_map(candidates, "doc_id long, key long, shingles binary", maybe, "doc_id", "h", "text")
+    sets = arrow_map(docs.select(F.xxhash64("doc_id", "text").alias("h"), "text"), "key long, shingles binary", maybe, "h", "text")
     sets = sets.dropDuplicates(["key"]).select("key", "shingles")  # few others pass the bitmap; the join drops them
     links = block_links(rows.join(sets, "key"), lambda _, s: tree_links(s, percent), "shingles")
     parts = connected_components(links, n).select(F.col("node").alias("key"), "component")

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -140,3 +141,31 @@ def test_prefix_bound():
         for m in range(n, 260):
             if J.needed(n, m) <= n:  # linked sets share one of the first shingles of each
                 assert J.prefix_length(n) >= n - J.needed(n, m) + 1 and J.prefix_length(m) >= m - J.needed(n, m) + 1
+
+
+def test_rows_without_an_id_are_bridges(spark):
+    words_ = [f"w{i}" for i in range(60)]
+    a, b, c = words_[:], words_[:], words_[:]
+    b[58:] = ["x", "y"]  # near both
+    c[:2], c[58:] = ["p", "q"], ["x", "y"]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (None, "alone here with some six words"), (None, None)]
+    plain = {i: x for i, x in enumerate([(1, rows[0][1]), (3, rows[1][1]), (2, rows[2][1])])}
+    assert brute(list(plain.values())) == {1: (56, 1), 3: (56, 1), 2: (56, 1)}
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 2, 0), (0, 56, 1), (1, 56, 1), (2, 56, 1)]
+
+
+@pytest.mark.parametrize("case", ["dense", "star", "sparse"])
+def test_large_buckets_take_bounded_time(case):
+    rng = np.random.default_rng(5)
+    if case == "dense":  # nothing links
+        sets = [np.sort(rng.choice(60, 40, replace=False)).astype(np.uint64) for _ in range(4000)]
+    elif case == "star":
+        base = np.arange(100, dtype=np.uint64)
+        sets = [np.append(base[base != i % 100], np.uint64(1000 + i)) for i in range(40_000)]
+    else:
+        sets = [np.unique(rng.integers(0, 10**6, 60).astype(np.uint64)) for _ in range(8000)]
+    began = time.process_time()
+    links = J.PrefixTree(sets).links()
+    assert time.process_time() - began < 40
+    assert len(links) == len(sets) - 1 if case == "star" else len(links) < len(sets)
