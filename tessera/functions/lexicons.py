@@ -109,7 +109,8 @@ NOT_NAMES = [
     "What", "When", "Where", "Who", "How", "Which", "Did", "Do", "Was", "Were", "Have", "Has", "Had", "Is", "Are", "The", "My", "Our", "Their",
     "Can", "Could", "Would", "Should", "Will", "Shall", "May", "Might", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
     "Sunday", "January", "February", "March", "April", "June", "July", "August", "September", "October", "November", "December", "In", "On",
-    "At", "For", "To", "Of",
+    "At", "For", "To", "Of", "With", "By", "From", "And", "But", "I", "It", "Its", "This", "That", "These", "Those", "Previously", "Recently", "Also",
+    "Just", "Very", "More",
 ]
 #: (pattern, days or * and days for each unit of the number, tolerance in days), the first that matches counts.
 RELATIVE_DATES = [

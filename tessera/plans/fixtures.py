@@ -28,7 +28,7 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT concat('t_supplier_', s_suppkey), concat('supplier_', s_suppkey), 'located_in', concat('nation_', s_nationkey), CAST(NULL AS STRING), CAST(NULL AS STRING), 0.8e0, CAST(NULL AS STRING), 'ctx_1' FROM supplier
         UNION ALL SELECT concat('t_order_', o_orderkey), concat('order_', o_orderkey), 'placed_by', concat('customer_', o_custkey), CAST(CAST(o_orderdate AS DATE) AS STRING), CASE WHEN o_orderstatus = 'F' THEN CAST(CAST(last_ship AS DATE) AS STRING) END, 0.7e0, CAST(NULL AS STRING), concat('ctx_', o_orderkey % 50)
           FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey) AS shipped ON o_orderkey = l_orderkey
-        UNION ALL SELECT concat('t_supplies_', l_suppkey, '_', l_partkey), concat('supplier_', l_suppkey), 'supplies', concat('part_', l_partkey), CAST(CAST(min(l_shipdate) AS DATE) AS STRING), CAST(CAST(max(l_shipdate) AS DATE) AS STRING), 0.6e0, CAST(NULL AS STRING), 'ctx_2' FROM lineitem WHERE l_partkey % 10 = l_suppkey % 10 GROUP BY l_suppkey, l_partkey""",
+        UNION ALL SELECT concat('t_supplies_', l_suppkey, '_', l_partkey), concat('supplier_', l_suppkey), 'supplies', concat('part_', l_partkey), CAST(CAST(min(l_shipdate) AS DATE) AS STRING), CAST(CAST(max(l_shipdate) AS DATE) AS STRING), 0.6e0, CAST(NULL AS STRING), 'ctx_2' FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "aliases": """
         SELECT concat('cust_', c_custkey) AS alias, concat('customer_', c_custkey) AS canonical_id FROM customer""",
     "vectors": """

@@ -1,12 +1,15 @@
 """Text queries on small tables of their own."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tessera.plans import text_queries as Q
 
 
 def test_keyword_overlap_takes_every_item(spark, tmp_path):
-    items = spark.range(10_001, numPartitions=1).select(F.col("id").alias("item_id"), F.concat(F.lit("gato "), "id").alias("text"))
+    items = spark.range(10_001, numPartitions=1).select((F.col("id") * 50).alias("item_id"), F.concat(F.lit("gato "), "id").alias("text"))
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "un Gato", "es")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = Q.fn_keyword_overlap(spark, str(tmp_path)).agg(F.count("*"), F.count_distinct("item_id"), F.sum("overlap")).first()
@@ -19,3 +22,21 @@ def test_classification_takes_every_language(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = Q.entity_classification(spark, str(tmp_path)).where("name = 'Zora'").collect()
     assert sorted((r.doc_id, r.frequency, r.type) for r in rows) == [(d, 4, "person") for d in (1, 2, 3, 4)]
+
+
+def test_candidates_against_brute_force(spark, tmp_path):
+    docs = [(1, "Zora met Ana Lee. Zora saw Ana Lee; Zora left Ana Lee.", "en"), (2, "Hola Zora, The end. Zora y Zora, mañana.", "es"), (3, None, "en"), (4, "Zora. Zora.", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, text, _ in docs:
+        names = re.findall(r"\b([A-Z][a-z]{1,19})\b", text or "") + re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", text or "")
+        want |= {(d, x): n for x, n in Counter(names).items() if n >= 3 and x.lower() not in ("the", "and")}
+    got = {(r.doc_id, r.name): r.frequency for r in Q.entity_candidates(spark, str(tmp_path)).collect()}
+    assert got == want and (2, "Zora") in got
+
+
+def test_answers_of_any_letters(spark, tmp_path):
+    items = [(1, "The  Cat, and a dog!"), (2, "El niño; the café"), (3, None), (4, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.answer for r in Q.fn_normalize_answer(spark, str(tmp_path)).collect()}
+    assert got == {1: "cat dog", 2: "el niño café", 3: None, 4: ""}
