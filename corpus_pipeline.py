@@ -41,7 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id."""
+    """One document of each group stays: that of the smallest doc_id; rows without a doc_id all stay."""
     found = jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
 
