@@ -40,4 +40,23 @@ d AS (SELECT doc_id, CAST(coalesce(sum(n_whole) FILTER (WHERE is_base), 0) AS BI
   array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (WHERE is_base), []))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(CASE WHEN is_base THEN 1.0e0 ELSE share END) AS score FROM k GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(d.n_base, 0) AS n_base, d.first_word, d.last_word, coalesce(d.base_labels, '') AS base_labels, coalesce(d.labels, '') AS labels, coalesce(d.score, 0.0e0) AS score FROM w LEFT JOIN d USING (doc_id)"""
 
-ORACLE_SQL = {"op9_license_scan": LICENSE, "op10_jaccard_join": JACCARD}
+#: Straight from the definition: every step of every order looks at every set of failures.
+AUDIT = """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+f AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > least, false) AS INT) AS fails FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order FROM x AS a JOIN x AS b ON b.f <> a.f JOIN x AS c ON c.f NOT IN (a.f, b.f) JOIN x AS d ON d.f NOT IN (a.f, b.f, c.f) JOIN x AS e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+k AS (SELECT filter_order, step, CAST(1 << (ascii(filter_order[step]) - 65) AS INT) AS bit, CAST(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS INT) AS seen FROM (SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM o)),
+s AS (SELECT part, filter_order, step, bit, CAST(sum(CASE WHEN fails & (coalesce(seen, 0) | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(seen, 0) = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(seen, 0) <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN good AND fails & bit <> 0 AND fails & coalesce(seen, 0) = 0 THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN toxic AND fails & bit <> 0 AND fails & coalesce(seen, 0) = 0 THEN n ELSE 0 END) AS BIGINT) AS toxic_lost FROM c, k GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM s"""
+
+ORACLE_SQL = {"op9_license_scan": LICENSE, "op10_jaccard_join": JACCARD, "op12_filter_audit": AUDIT}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.config_packing import op8_config_packing
 from tessera.llm.decontaminate import op4_decontaminate
+from tessera.llm.filter_audit import op12_filter_audit
 from tessera.llm.jaccard_join import op10_jaccard_join
 from tessera.llm.language_id import op7_language_id
 from tessera.llm.license_scan import op9_license_scan
@@ -17,6 +18,7 @@ from tessera.llm.token_counts import op3_token_counts
 _ALL = (
     op1_shard_lookup, op2_media_columns, op3_token_counts, op4_decontaminate, op5_line_dedup,
     op6_packed_ids, op7_language_id, op8_config_packing, op9_license_scan, op10_jaccard_join,
+    op12_filter_audit,
 )
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
