@@ -69,13 +69,13 @@ def release(spark: SparkSession) -> None:
 ROWS, BYTES = 512, 4 << 20
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch within ``ROWS`` rows and about ``BYTES`` bytes, or of a single row."""
+def slices(batch: pa.RecordBatch, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch within ``ROWS`` rows and about ``most`` bytes, or of a single row."""
     waiting = [(0, batch.num_rows)]
     while waiting:
         at, n = waiting.pop()
         part = batch.slice(at, n)
-        if n > 1 and (n > ROWS or part.nbytes > BYTES):
+        if n > 1 and (n > ROWS or part.nbytes > most):
             waiting += [(at + n // 2, n - n // 2), (at, n // 2)]
         elif n:
             yield part
