@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as X
@@ -162,23 +162,31 @@ def extract_prose(text: str | Column) -> Column:
     return F.when(prose != "", prose).otherwise(_c(text))
 
 
-def memory_types(df: DataFrame, text: str = "text", least: float = 0.3, markers: dict[str, list[str]] = X.MARKERS) -> DataFrame:
-    """Segments with memory_type and confidence; those too short, without a marker or below ``least`` are left out.
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once for a row, however often they are used after.
 
-    Prose and scores are columns of their own, so that each is computed once for a row.
+    Projections and filters over plain columns are merged, and with them what they compute; rows made by a generator aren't.
     """
+    made = df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("__once"))
+    return made.select(*df.columns, *(F.col(f"__once.{k}").alias(k) for k in columns))
+
+
+def memory_types(df: DataFrame, text: str = "text", least: float = 0.3, markers: dict[str, list[str]] = X.MARKERS) -> DataFrame:
+    """Segments with memory_type and confidence; those too short, without a marker or below ``least`` are left out."""
     own = df.columns
-    df = df.where(F.length(F.trim(text)) >= 20).withColumn("__prose", extract_prose(text))
-    df = df.withColumns({f"__{k}": marker_score("__prose", m) for k, m in markers.items()})
+    df = once(df.where(F.length(F.trim(text)) >= 20), __prose=extract_prose(text))
+    df = once(df, **{f"__{k}": marker_score("__prose", m) for k, m in markers.items()})
     score = {k: F.col(f"__{k}") for k in markers}
-    df = df.withColumn("__best", F.greatest(*score.values())).where("__best > 0")
+    best = F.greatest(*score.values())
     bonus = F.when(F.length(text) > 500, 2).when(F.length(text) > 200, 1).otherwise(0)
-    df = df.withColumn("confidence", F.least(F.lit(1.0), (F.col("__best") + bonus) / 5.0)).where(F.col("confidence") >= least)
+    confidence = F.least(F.lit(1.0), (best + bonus) / 5.0)
     kind = F.lit(None).cast("string")
     for k in reversed(score):
-        kind = F.when(score[k] == F.col("__best"), k).otherwise(kind)
-    df = df.withColumn("__kind", kind).withColumn("__good", sentiment("__prose") == "positive").withColumn("__solved", has_resolution("__prose"))
-    problem, good, solved = F.col("__kind") == "problem", F.col("__good"), F.col("__solved")
+        kind = F.when(score[k] == best, k).otherwise(kind)
+    df = df.where((best > 0) & (confidence >= least)).select("*", kind.alias("__kind"), confidence.alias("confidence"))
+    problem = F.col("__kind") == "problem"  # only these may turn out to be something else
+    df = once(df, __good=F.when(problem, sentiment("__prose") == "positive"), __solved=F.when(problem, has_resolution("__prose")))
+    good, solved = F.col("__good"), F.col("__solved")
     kind = (
         F.when(problem & solved & (score["emotional"] > 0) & good, "emotional")
         .when(problem & solved, "milestone")
@@ -189,6 +197,15 @@ def memory_types(df: DataFrame, text: str = "text", least: float = 0.3, markers:
     return df.select(*own, kind.alias("memory_type"), "confidence")
 
 
+def extract_memories(df: DataFrame, key: str, text: str = "text", least: float = 0.3) -> DataFrame:
+    """(key, chunk_index, content, memory_type, confidence): the segments of each text that are memories, numbered in order."""
+    from tessera.functions.segments import segments, stripped
+
+    found = memory_types(segments(df.select(key, text), text), "content", least)
+    w = Window.partitionBy(key).orderBy("segment_index")
+    return found.select(key, (F.row_number().over(w) - 1).alias("chunk_index"), stripped("content").alias("content"), "memory_type", "confidence")
+
+
 # ---- queries ----
 
 

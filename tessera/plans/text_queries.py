@@ -388,15 +388,6 @@ def stream_count_trigger(spark, sf_dir):
     return ops.count_trigger_batch(view(spark, sf_dir, "events").where("event_type IN ('click', 'view')").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), "ts"))
 
 
-@query("""
-WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'), q AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'), h AS (SELECT c.user_id AS session, c.event_id AS call_id, q.event_id AS cue_id, row_number() OVER (PARTITION BY c.event_id ORDER BY q.ts, q.event_id) AS r FROM c JOIN q ON q.user_id = c.user_id AND c.ts >= q.ts AND c.ts <= q.ts + INTERVAL 3 HOUR) SELECT session, call_id, cue_id FROM h WHERE r = 1""")
-def stream_consume_cues(spark, sf_dir):
-    e = view(spark, sf_dir, "events")
-    calls = e.where("event_type = 'click'").select(F.col("user_id").alias("session"), F.lit("t").alias("tool"), F.col("ts").alias("call_ts"), F.col("event_id").alias("call_id"))
-    cues = e.where("event_type = 'view'").select(F.col("user_id").alias("session"), F.lit("t").alias("tool"), F.col("ts").alias("cue_ts"), F.col("event_id").alias("cue_id"))
-    return ops.first_match(ops.consume_cues(calls, cues, "3 hours")).select("session", "call_id", "cue_id")
-
-
 @query("SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def stream_latest_by_key(spark, sf_dir):
     return ops.latest_by_key(view(spark, sf_dir, "events"), ["user_id"], "event_type", "ts")

@@ -49,22 +49,6 @@ def count_trigger(messages: DataFrame, every: int = SAVE_EVERY) -> DataFrame:
     return messages.groupBy("session").applyInPandasWithState(step, f"session {kind}, nth long, ts timestamp", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def consume_cues(calls: DataFrame, cues: DataFrame, ttl: str = CUE_TTL) -> DataFrame:
-    """Calls (session, tool, call_ts, call_id) with the cues (session, tool, cue_ts, cue_id) they may consume: same tool, not older than the TTL.
-
-    Works on streams, with watermarks on both sides, and on tables.
-    """
-    c = cues.select(F.col("session").alias("s"), F.col("tool").alias("t"), "cue_ts", "cue_id")
-    near = (F.col("session") == F.col("s")) & (F.col("tool") == F.col("t")) & (F.col("call_ts") >= F.col("cue_ts")) & (F.col("call_ts") <= F.col("cue_ts") + F.expr(f"INTERVAL {ttl}"))
-    return calls.join(c, near).select("session", "tool", "call_id", "cue_id", "call_ts", "cue_ts")
-
-
-def first_match(hits: DataFrame) -> DataFrame:
-    """Of each call's cues the oldest."""
-    w = Window.partitionBy("call_id").orderBy("cue_ts", "cue_id")
-    return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-
-
 def prune_expired(cues: DataFrame, now: str, ttl: str = CUE_TTL) -> DataFrame:
     """Cues within their time to live; those without a readable time stay."""
     return cues.where(F.col("cue_ts").isNull() | (F.col("cue_ts") >= F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {ttl}")))

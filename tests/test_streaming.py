@@ -30,18 +30,6 @@ def test_latest_and_counts(spark, sf, tmp_path):
     assert rows(spark.table("counts")) == rows(ops.keyword_counts(key(e)))
 
 
-def test_cues_join_as_streams(spark, sf, tmp_path):
-    s, e = stream(spark, sf, tmp_path, 1)
-
-    def sides(d, marked):
-        calls = d.where("event_type = 'click'").select(F.col("user_id").alias("session"), F.lit("t").alias("tool"), F.col("ts").alias("call_ts"), F.col("event_id").alias("call_id"))
-        cues = d.where("event_type = 'view'").select(F.col("user_id").alias("session"), F.lit("t").alias("tool"), F.col("ts").alias("cue_ts"), F.col("event_id").alias("cue_id"))
-        return (calls.withWatermark("call_ts", "1 hour"), cues.withWatermark("cue_ts", "1 hour")) if marked else (calls, cues)
-
-    ops.available_now(ops.consume_cues(*sides(s, True), ttl="3 hours"), "cues", str(tmp_path / "c"))
-    assert rows(spark.table("cues")) == rows(ops.consume_cues(*sides(e, False), ttl="3 hours"))
-
-
 def test_once_within_a_watermark(spark, sf, tmp_path):
     s, e = stream(spark, sf, tmp_path, 1)
     ops.available_now(ops.once(s.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "365 days"), "once", str(tmp_path / "c"))
