@@ -34,4 +34,4 @@ def test_stages_follow_each_other(spark, sf):
 
 def test_registry_has_one_query_for_each():
     numbers = [int(n[2:].split("_")[0]) for n in registry.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
