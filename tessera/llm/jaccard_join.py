@@ -211,8 +211,8 @@ def tree_links(sets: list[bytes], percent: int = PERCENT) -> list[tuple[int, int
     return PrefixTree([np.frombuffer(s, np.uint64) for s in sets], percent).links()
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, rid, group, n_shingles, component_id for every row of ``docs``; rid stands for doc_id and text, rows of one group are linked unless they have no shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     own = checkpointed(sets_of(docs, percent))
@@ -243,12 +243,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = sets.dropDuplicates(["key"]).select("key", "shingles")  # few others pass the bitmap; the join drops them
     links = block_links(rows.join(sets, "key"), lambda _, s: tree_links(s, percent), "shingles")
     parts = connected_components(links, n).select(F.col("node").alias("key"), "component")
-    rows = own.select("doc_id", F.col("n").alias("n_shingles"), "key").join(parts, "key", "left")
+    rows = own.select("doc_id", "rid", F.col("n").alias("n_shingles"), "key").join(parts, "key", "left")
     rows = rows.withColumn("group", F.coalesce("component", "key"))
     least = rows.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(least, "group", "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", linked.alias("component_id"))
+    return rows.select("doc_id", "rid", "group", "n_shingles", linked.alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return jaccard_groups(docs, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
