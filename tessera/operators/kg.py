@@ -167,8 +167,10 @@ def resolve_profile(triples: DataFrame, profiles: DataFrame, seeds: DataFrame, d
 def cardinality_violations(triples: DataFrame, cardinality: DataFrame) -> DataFrame:
     """Current facts that break their predicate's cardinality (predicate, cardinality)."""
     now = triples.where(is_current()).join(cardinality, "predicate")
-    s, o = Window.partitionBy("subject", "predicate"), Window.partitionBy("object", "predicate")
-    now = now.withColumn("per_subject", F.count("*").over(s)).withColumn("per_object", F.count("*").over(o))
+    # counts combine before they are dealt, and only keys of several facts are joined back: no task holds all facts of a key
+    for end in ("subject", "object"):
+        several = now.groupBy(end, "predicate").agg(F.count("*").alias(f"per_{end}")).where(F.col(f"per_{end}") > 1)
+        now = now.join(several, [end, "predicate"], "left").withColumn(f"per_{end}", F.coalesce(f"per_{end}", F.lit(1).cast("long")))
     one_object = F.col("cardinality").isin("many-to-one", "one-to-one") & (F.col("per_subject") > 1)
     one_subject = F.col("cardinality").isin("one-to-many", "one-to-one") & (F.col("per_object") > 1)
     return now.where(one_object | one_subject).select(F.col("id").alias("triple_id"), "subject", "predicate", "object", "per_subject", "per_object")
@@ -245,10 +247,16 @@ HOP_SIMILARITY = {1: 0.5, 2: 0.3, 3: 0.1}
 
 
 def graph_walk(triples: DataFrame, seeds: DataFrame, budget: int = 30) -> DataFrame:
-    """(seed, id, hop, score): up to three hops over current facts, not up is_a; the first ``budget`` nodes by hop and id; scores damped by degree."""
+    """(seed, id, hop, score): up to three hops over current facts, not up is_a; the first ``budget`` nodes by hop and id; scores damped by degree.
+
+    A hop takes the first ``budget`` nodes that weren't seen.  At most 1 + 2 * budget were, so the first 1 + 3 * budget
+    neighbours of a node decide: a hub is cut to these before it is joined, and before its edges are dealt.
+    """
     now = triples.where(is_current(empty_too=True))
     ways = now.where("predicate <> 'is_a'").select(F.col("subject").alias("near"), F.col("object").alias("far"))
     ways = ways.unionByName(now.select(F.col("object").alias("near"), F.col("subject").alias("far"))).distinct()
+    first = Window.partitionBy("near").orderBy("far")
+    ways = ways.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= 1 + len(HOP_SIMILARITY) * budget).drop("__k")
     seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")).distinct()
     front = seen
     for k in HOP_SIMILARITY:

@@ -20,15 +20,19 @@ def latest_state(revisions: DataFrame, scopes: DataFrame | None = None, session:
     If the last row's schema is of session scope (scopes: schema_id, scope) and a session is given, the
     last row of that session, or without a session, counts instead.
     """
-    w = Window.partitionBy("entity_id").orderBy(F.desc("created_at"), F.desc("rev_id"))
+    own, order = revisions.columns, F.struct("created_at", "rev_id")
+
+    def last(rows: DataFrame) -> DataFrame:  # combines before it deals, however long a history is
+        row = rows.groupBy("entity_id").agg(F.max_by(F.struct(*(c for c in own if c != "entity_id")), order).alias("__r"))
+        row = row.select(*(F.col(c) if c == "entity_id" else F.col(f"__r.{c}").alias(c) for c in own))
+        return row.where("payload IS NOT NULL")
+
     if scopes is None or session is None:
-        return revisions.withColumn("__r", F.row_number().over(w)).where("__r = 1 AND payload IS NOT NULL").drop("__r")
-    r = revisions.withColumn("__last", F.first("schema_id").over(w))
-    s = scopes.select(F.col("schema_id").alias("__last"), F.col("scope").alias("__scope"))
-    r = r.join(s, "__last", "left")
-    fits = (F.coalesce("__scope", F.lit("global")) != "session") | F.col("session_id").isNull() | (F.col("session_id") == session)
-    r = r.where(fits).withColumn("__r", F.row_number().over(w))
-    return r.where("__r = 1 AND payload IS NOT NULL").drop("__r", "__last", "__scope")
+        return last(revisions)
+    s = scopes.where("scope = 'session'").select(F.col("schema_id").alias("__last")).distinct()
+    scoped = revisions.groupBy("entity_id").agg(F.max_by("schema_id", order).alias("__last")).join(s, "__last", "left_semi").select("entity_id")
+    fits = F.col("session_id").isNull() | (F.col("session_id") == session)
+    return last(revisions.join(scoped, "entity_id", "left_anti").unionByName(revisions.join(scoped, "entity_id", "left_semi").where(fits)))
 
 
 def upsert_entities(current: DataFrame, changes: DataFrame) -> DataFrame:

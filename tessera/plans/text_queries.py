@@ -148,7 +148,7 @@ def fn_token_f1(spark, sf_dir):
 @query("SELECT n_nationkey AS k, r_regionkey AS r, levenshtein(n_name, r_name) AS d FROM nation, region")
 def fn_edit_distance(spark, sf_dir):
     n, r = view(spark, sf_dir, "nation"), view(spark, sf_dir, "region")
-    return n.join(F.broadcast(r.limit(1000))).select(F.col("n_nationkey").alias("k"), F.col("r_regionkey").alias("r"), F.levenshtein("n_name", "r_name").alias("d"))
+    return n.join(r).select(F.col("n_nationkey").alias("k"), F.col("r_regionkey").alias("r"), F.levenshtein("n_name", "r_name").alias("d"))
 
 
 _OFF = "abs(a - d)"
