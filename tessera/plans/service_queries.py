@@ -120,7 +120,9 @@ def gardener_counters(spark, sf_dir):
     return services.gardener_counters(t).select("merged", "deferred", "flags")
 
 
-@query()
+@query("""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT concat(lpad(CAST(event_id AS VARCHAR), 12, '0'), '_v2') AS rev_id, concat('e', user_id) AS entity_id, 'task_state' AS schema_id, concat('{"status":"pending","subtodos":[],"blocker":"', event_type, '"}') AS payload, '2024-02-01' AS created_at, 2 AS schema_version FROM e WHERE k = 1 AND event_id % 2 = 0""")
 def state_migrate_latest(spark, sf_dir):
     e = view(spark, sf_dir, "events").select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("rev_id"), F.concat(F.lit("e"), "user_id").alias("entity_id"), F.lit("task_state").alias("schema_id"),
