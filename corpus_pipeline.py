@@ -14,23 +14,29 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint_folder, table
 from tessera.llm.config_packing import pack
 from tessera.llm.decontaminate import clean
-from tessera.llm.jaccard_join import jaccard_components
-from tessera.llm.language_id import UNKNOWN, identify
+from tessera.llm.jaccard_join import jaccard_groups
+from tessera.llm.language_id import UNKNOWN, fit, is_held_out, predict
 from tessera.llm.line_dedup import dedup_lines
 
 #: A document this far from every profile is no text in a known language.
 LEAST_SCORE = 0.25
 
 
+def _own(docs: DataFrame):
+    """What a row is told by, as ids may be missing or repeat: its doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text is near a language profile; those without a letter go.
 
-    Profiles are learned from the stage's own rows.  Documents are matched by doc_id; of rows that
-    share one, all go if one of them does.  Rows without a doc_id go.
+    Profiles are learned from the stage's own rows that have a doc_id and aren't held out.  Every row is judged by itself,
+    also those without a doc_id or with that of another.
     """
-    found = identify(docs.select("doc_id", "text", "lang"))
-    kept = found.groupBy("doc_id").agg(F.min((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).alias("ok"))
-    return docs.join(kept.where("ok"), "doc_id", "left_semi").select(*docs.columns)
+    profiles = fit(docs.where(F.col("doc_id").isNotNull() & ~is_held_out()).select("text", "lang"))
+    found = predict(docs.select(_own(docs).alias("doc_id"), "text"), profiles)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("__own")).distinct()
+    return docs.join(kept, _own(docs) == kept["__own"], "left_semi").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +47,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id; rows without a doc_id all stay."""
-    found = jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group stays: that of the smallest doc_id, of several texts under that id the one of the least hash.
+
+    Rows without a doc_id all stay, though they may link others; so do rows without words, and rows that repeat both
+    the doc_id and the text of the one that stays.
+    """
+    found = jaccard_groups(docs)
+    named = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    first = found.where(named).groupBy("group").agg(F.min(F.struct("doc_id", "rid")).alias("f")).select("f.rid")
+    kept = first.unionByName(found.where(~named).select("rid")).select(F.col("rid").alias("__own")).distinct()
+    return docs.join(kept, _own(docs) == kept["__own"], "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
