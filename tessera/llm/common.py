@@ -112,7 +112,8 @@ def connected_components(edges: DataFrame, rows: int | None = None, rounds: int
 
     Alternating large-star and small-star steps: each round is a few shuffles of the edges, and the
     edges become stars in about log(longest path) rounds.  Each star is made from a minimum that is
-    aggregated before the shuffle and joined back, so a hub's edges are never gathered in one task.
+    aggregated before the shuffle.  Where it is joined back, a hub's edges, two numbers each, pass through one task in
+    sorted order, or through several once Spark's adaptive skew join finds the partition too large.
     Nodes without an edge to another node are left out.  Nulls never link.  ``rows``: about how many edges
     there are, if that is known.
     """

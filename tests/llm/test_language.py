@@ -1,6 +1,7 @@
 import zlib
+from collections import Counter
 
-from tessera.llm.language_id import UNKNOWN, Ranks, fit, identify, ngram_counts, ngrams, op7_language_id
+from tessera.llm.language_id import PROFILE, UNKNOWN, Ranks, fit, identify, ngram_counts, ngrams, op7_language_id
 
 
 def test_ngrams_by_hand():
@@ -48,3 +49,47 @@ def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang")
     both = pred.join(docs, "doc_id").selectExpr("avg(cast(lang = lang_pred as double))").first()[0]
     assert both > 0.95
+
+
+def plain_ngrams(text):
+    """Counts of letters, pairs and triples of a text, letter by letter; a word's end is 0."""
+    marked = [0]
+    for c in text.lower():
+        if c.isalpha():
+            marked.append(ord(c))
+        elif marked[-1]:
+            marked.append(0)
+    if marked[-1]:
+        marked.append(0)
+    out = Counter(c for c in marked if c)
+    out.update((a << 21) | b for a, b in zip(marked, marked[1:]))
+    out.update((a << 42) | (b << 21) | c for a, b, c in zip(marked, marked[1:], marked[2:]) if b)
+    return out
+
+
+def first(counts):
+    return [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]]
+
+
+def brute(rows):
+    """(held_out, lang_pred, score) of every row by the definition."""
+    held = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows]
+    sums = {}
+    for (d, text, lang), h in zip(rows, held):
+        if d is not None and not h and text is not None and lang is not None:
+            sums.setdefault(lang, Counter()).update(plain_ngrams(text))
+    place = {lang: {c: k for k, c in enumerate(first(n))} for lang, n in sorted(sums.items())}
+    out = []
+    for (_, text, _), h in zip(rows, held):
+        own = first(plain_ngrams(text or "")) if any(c.isalpha() for c in (text or "").lower()) else []
+        away = {lang: sum(abs(p[c] - k) if c in p else PROFILE for k, c in enumerate(own)) for lang, p in place.items()}
+        best = min(away, key=away.get) if own and away else None
+        out.append((h, best or UNKNOWN, 1 - away[best] / (PROFILE * len(own)) if best else 0.0))
+    return out
+
+
+def test_query_against_brute_force(spark, sf, odd):
+    for docs, found in ((spark.read.parquet(f"{sf}/documents.parquet"), op7_language_id(spark, sf)), (odd, identify(odd))):
+        rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+        want = sorted(((d is None, d or 0, *x[:2], round(x[2], 9)) for (d, _, _), x in zip(rows, brute(rows))))
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.lang_pred, round(r.score, 9)) for r in found.collect()) == want

@@ -1,7 +1,9 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.sharding import fill, place, preferences
+from tessera.llm.sharding import SHARDS, SLOTS, fill, op1_shard_lookup, place, preferences
 
 NAMES = [f"shard-{i}" for i in range(7)]
 
@@ -60,3 +62,24 @@ def test_hot_key_is_spread(spark):
 def test_native_plan(spark, odd):
     plan = place(odd, "doc_id", NAMES, 251)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Broadcast" in plan
+
+
+def test_query_against_brute_force(spark, sf):
+    """Every document's slot and shard, by hashing in Python and taking turns over explicit orders."""
+    names = [f"shard-{i:03d}" for i in range(SHARDS)]
+    orders = []
+    for n in names:
+        offset, stride = preferences(n, SLOTS)
+        orders.append(iter([(offset + j * stride) % SLOTS for j in range(SLOTS)]))
+    owner = {}
+    while len(owner) < SLOTS:
+        for i, order in enumerate(orders):
+            free = next((x for x in order if x not in owner), None)
+            if free is not None:
+                owner[free] = i
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = op1_shard_lookup(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % SLOTS
+        assert (r.slot, r.shard, r.n_bytes) == (slot, owner[slot], len((docs[r.doc_id] or "").encode()))
