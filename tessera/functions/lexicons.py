@@ -152,5 +152,6 @@ PREFERENCE_PATTERNS = [
     r"i used to ([^,\.!?]{5,60})",
     r"when i was (?:in high school|in college|young|a kid|growing up)[,\s]+([^,\.!?]{5,80})",
     r"growing up[,\s]+([^,\.!?]{5,80})",
+    # the group around the whole of this pattern is added here, as the first group is what is extracted
     r"((?:happy|fond|good|positive) (?:high school|college|childhood|school) (?:experience|memory|memories|time)[^,\.!?]{0,60})",
 ]

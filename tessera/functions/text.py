@@ -98,6 +98,13 @@ def summary_problem(what: str | Column, why: str | Column, scope: str | Column)
     )
 
 
+def coerced_summary(what: str | Column, why: str | Column, scope: str | Column) -> Column:
+    """Struct (what, why, scope, problem): the parts trimmed and in ASCII, or nulls and what is wrong with them; a blank scope is null."""
+    clean = [fold_ascii(F.nullif(F.trim(_c(c)), F.lit(""))) for c in (what, why, scope)]
+    problem = summary_problem(*clean)
+    return F.struct(*(F.when(problem.isNull(), c).alias(k) for k, c in zip(("what", "why", "scope"), clean)), problem.alias("problem"))
+
+
 def is_discriminative(what: str | Column, stoplist: list[str] = X.WHAT_STOPLIST, least: int = 8) -> Column:
     c = F.lower(F.trim(_c(what)))
     return (F.length(c) >= least) & ~c.isin(stoplist)

@@ -75,6 +75,12 @@ def dedup_sources(records: DataFrame, threshold: float = THRESHOLD, least_group:
     return keyed_fold(rows, ["source_file"], ["longest", "id"], lambda: DedupFold(threshold), f"source_file string, id {dict(records.dtypes)['id']}, kept boolean")
 
 
+def dedup_report(deduplicated: DataFrame) -> DataFrame:
+    """(source_file, records, kept, removed) of what ``dedup_sources`` gave; the row of a null source has the totals."""
+    g = deduplicated.rollup("source_file").agg(F.count("*").alias("records"), F.count_if("kept").alias("kept"), F.grouping("source_file").alias("__all"))
+    return g.where((F.col("__all") == 1) | F.col("source_file").isNotNull()).select("source_file", "records", "kept", (F.col("records") - F.col("kept")).alias("removed"))
+
+
 class LeaderFold:
     def __init__(self, threshold: float):
         self.threshold, self.kept, self.ids = threshold, _Kept(), []

@@ -72,15 +72,6 @@ def with_channel(df: DataFrame, channel: str, weights: dict[str, float] | None =
     return df.select("query_id", F.lit(channel).alias("list_name"), F.lit(float(w)).alias("weight"), "id", "score")
 
 
-def multi_channel(cosine: DataFrame, keyword: DataFrame, graph: DataFrame, context: DataFrame, weights: dict[str, float] | None = None, cap: int = 50) -> DataFrame:
-    """Union of the four channels, the first ``cap`` of each list."""
-    parts = [with_channel(d, c, weights) for d, c in ((cosine, "cosine"), (keyword, "keyword"), (graph, "graph"), (context, "context"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, ["query_id", "list_name"], [F.desc("score"), "id"], cap).drop("rank")
-
-
 def within_budget(df: DataFrame, by: list[str], order: list, size: Column, budget: int) -> DataFrame:
     """Rows in order while their running size stays within a budget."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -58,18 +58,21 @@ def similar_edges(edges: DataFrame, fresh: DataFrame, least: float = 0.65, ended
 
 
 def gate(results: DataFrame, judge: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
-    """Results (query_id, id, text, rank) with ``keep``; ``judge`` sees one query's rows.  Without one, or if it fails, all stay."""
+    """Results (query_id, id, text, rank) with ``keep`` and ``failure``; ``judge`` sees one query's rows.
+
+    Without a judge all stay; if it fails all of that query's rows stay too, and ``failure`` says why, so that failures can be counted.
+    """
     if judge is None:
-        return results.withColumn("keep", F.lit(True))
+        return results.withColumn("keep", F.lit(True)).withColumn("failure", F.lit(None).cast("string"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            keep = judge(pdf).astype(bool).to_numpy()
-        except Exception:  # noqa: BLE001  a judge that fails drops nothing
-            keep = True
-        return pdf.assign(keep=keep)
+            keep, failure = judge(pdf).astype(bool).to_numpy(), None
+        except Exception as e:  # noqa: BLE001  a judge that fails drops nothing
+            keep, failure = True, f"{type(e).__name__}: {e}"[:200]
+        return pdf.assign(keep=keep, failure=failure)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in results.dtypes) + ", keep boolean"
+    schema = ", ".join(f"`{c}` {t}" for c, t in results.dtypes) + ", keep boolean, failure string"
     return results.groupBy("query_id").applyInPandas(run, schema)
 
 

@@ -174,6 +174,34 @@ def default_payload(schema: str | Column) -> Column:
     return out
 
 
+def initial_revisions(bearers: DataFrame, revisions: DataFrame, now: str) -> DataFrame:
+    """First revisions (rev_id, entity_id, schema_id, payload, created_at, schema_version) for bearers (entity_id, schema_id) that have none, with the schema's default payload.
+
+    The id follows from the entity, so that a replay appends nothing new; of several schemas of an entity the least counts.
+    """
+    lacking = bearers.where("entity_id IS NOT NULL").groupBy("entity_id").agg(F.min("schema_id").alias("schema_id")).join(revisions.select("entity_id").distinct(), "entity_id", "left_anti")
+    return lacking.select(
+        F.concat(F.lit("init_"), "entity_id").alias("rev_id"), "entity_id", "schema_id", default_payload("schema_id").alias("payload"), F.lit(now).alias("created_at"), F.lit(CURRENT_VERSION).alias("schema_version")
+    )
+
+
+def pending_count(queue: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
+    """One row: open flags that may still be attempted, and open ones that are frozen."""
+    open_ = F.col("resolution").isNull()
+    return queue.agg(F.count_if(open_ & (F.col("attempted_count") < most)).alias("pending"), F.count_if(open_ & (F.col("attempted_count") >= most)).alias("frozen"))
+
+
+def due(runs: DataFrame, pending: DataFrame, now: str, every: str = "1 hour", least: int = 1) -> DataFrame:
+    """(agent, pending, last_run) of those whose queue holds ``least`` rows or more and whose last run is ``every`` or longer ago, or never was.
+
+    runs: agent, started_ts; pending: agent.
+    """
+    last = runs.groupBy("agent").agg(F.max("started_ts").alias("last_run"))
+    n = pending.groupBy("agent").agg(F.count("*").alias("pending")).where(F.col("pending") >= least)
+    ago = F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {every}")
+    return n.join(last, "agent", "left").where(F.col("last_run").isNull() | (F.col("last_run") <= ago)).select("agent", "pending", "last_run")
+
+
 def valid_payloads(revisions: DataFrame, schema: str, required: list[str]) -> DataFrame:
     """Revisions with ``valid``: the payload parses as ``schema`` and has the required fields."""
     p = F.from_json("payload", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})

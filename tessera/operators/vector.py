@@ -1,27 +1,32 @@
 """Similarity search and joins over embeddings.
 
-Queries are a stated set that is compared with all rows in blocks: the queries are gathered into
-blocks of bounded size, and each block meets the vectors once.  Vectors are never paired among
-themselves.
+Queries are a stated set that is compared with all rows in blocks: the queries, of which there is a bounded
+number, are sent to every task, which multiplies them with a block of vectors at a time and keeps what may be
+among the nearest.  Vectors are never paired among themselves.  A vector that is missing, has no direction, holds nulls
+or has another length than a query has similarity 0 with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.functions.scoring import cosine
 from tessera.operators.ranking import top_k
 
 #: Thresholds of similarity.
 REUSE_IDENTITY, COLLISION = 0.92, 0.85
 CONTEXT_REUSE, CONTEXT_SIMILAR = 0.90, 0.65
-#: Query vectors that one block may hold.
-MOST_QUERIES = 100_000
+#: Query vectors at once, and numbers in them.
+MOST_QUERIES, MOST_NUMBERS = 100_000, 20_000_000
+#: Vectors and queries of a block.
+BLOCK, QUERIES = 8192, 512
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[Column | str], Column]:
@@ -44,19 +49,76 @@ def hashing_embedder(dims: int = 64) -> Callable[[Column | str], Column]:
     return embed
 
 
+def _units(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: positions of the vectors that have a direction, and these with length 1."""
+    size = np.array([0 if x is None or None in x else len(x) for x in rows], np.int64)
+    out = {}
+    for d in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == d)
+        x = np.array([rows[i] for i in at.tolist()], np.float64)
+        norm = np.sqrt((x * x).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        out[d] = at[good], x[good] / norm[good, None]
+    return out
+
+
+def _compared(queries: DataFrame, vectors: DataFrame, k: int | None = None, more: Column | None = None) -> DataFrame:
+    """(query_id, view, id, similarity) of queries with vectors: of all, or, for ``k``, of those that may be among the k nearest.
+
+    ``more`` is how many more than k a query wants.
+    """
+    q = queries.select("query_id", "view", F.col("query").cast("array<double>").alias("query"), (F.lit(0) if more is None else more).cast("int").alias("more"))
+    got = q.limit(MOST_QUERIES + 1).toArrow()
+    rows = got.column("query").to_pylist()
+    if len(rows) > MOST_QUERIES or sum(len(x) for x in rows if x) > MOST_NUMBERS:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors or {MOST_NUMBERS} numbers in them: split them into batches, or use an index")
+    names = got.select(["query_id", "view"]).combine_chunks()
+    sent = vectors.sparkSession.sparkContext.broadcast((names, _units(rows), got.column("more").to_numpy()))
+    schema = StructType([q.schema["query_id"], q.schema["view"], vectors.schema["id"], StructField("similarity", DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, units, more = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(more) else 0, BLOCK):
+                part = whole.slice(at, BLOCK)
+                mine = _units(part.column(1).to_pylist())
+                for begin in range(0, len(more), QUERIES):
+                    sim = np.zeros((min(QUERIES, len(more) - begin), part.num_rows))
+                    for d, (of, x) in units.items():
+                        low, high = np.searchsorted(of, (begin, begin + QUERIES))
+                        if d in mine and high > low:
+                            sim[np.ix_(of[low:high] - begin, mine[d][0])] = x[low:high] @ mine[d][1].T
+                    keep = np.ones(sim.shape, bool)
+                    if k is not None:
+                        want = np.minimum(k + more[begin : begin + len(sim)], part.num_rows)
+                        deep = -np.partition(-sim, np.unique(want - 1), axis=1)
+                        keep = sim >= deep[np.arange(len(sim)), want - 1][:, None] - 2e-6  # what rounding to 6 may put beside the last
+                    i, j = np.nonzero(keep)
+                    of = pa.array(i + begin)
+                    columns = [names.column("query_id").take(of), names.column("view").take(of), part.column(0).take(pa.array(j)), pa.array(sim[i, j])]
+                    for c in range(0, len(i), 1 << 16):
+                        cut = [x.slice(c, 1 << 16) for x in columns]
+                        cut = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cut]
+                        yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cut, out)], schema=out)
+
+    return vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
+
+
 def score_queries(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, view, id, similarity) of every query (query_id, view, query) with every vector (id, embedding)."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors: split them into batches")
-    q = F.broadcast(queries.select("query_id", "view", "query"))
-    return vectors.select("id", "embedding").join(q).select("query_id", "view", "id", cosine("query", "embedding").alias("similarity"))
+    return _compared(queries, vectors)
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, exclude: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest vectors of each query view, rounded to 6 before ranking; ``exclude`` (query_id, id) are left out."""
-    scored = score_queries(queries, vectors).withColumn("similarity", F.round("similarity", 6))
-    if exclude is not None:
-        scored = scored.join(exclude.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+    if exclude is None:
+        scored = _compared(queries, vectors, k).withColumn("similarity", F.round("similarity", 6))
+    else:
+        out = exclude.select("query_id", "id").distinct()
+        counted = queries.join(out.groupBy("query_id").agg(F.count("*").alias("__more")), "query_id", "left")
+        scored = _compared(counted, vectors, k, F.coalesce("__more", F.lit(0))).withColumn("similarity", F.round("similarity", 6))
+        scored = scored.join(out, ["query_id", "id"], "left_anti").select("query_id", "view", "id", "similarity")
     return top_k(scored, ["query_id", "view"], [F.desc("similarity"), "id"], k)
 
 

@@ -271,11 +271,12 @@ _NEAR = "near AS (SELECT DISTINCT a.context_id AS query_id, b.context_id, CASE W
 
 
 def _near(spark, sf_dir):
+    """Each context with itself and with all that have a longer name, by length."""
     c = view(spark, sf_dir, "ratings").select("context_id").distinct()
-    a = c.withColumnRenamed("context_id", "query_id")
-    w = F.when(F.col("query_id") == F.col("context_id"), 1.0).otherwise(0.85)
-    near = (F.col("query_id") == F.col("context_id")) | (F.length("query_id") < F.length("context_id"))
-    return a.join(c, near).select("query_id", "context_id", w.alias("weight"))
+    same = c.select(F.col("context_id").alias("query_id"), "context_id", F.lit(1.0).alias("weight"))
+    longer = c.where("length(context_id) > 0").select("context_id", F.explode(F.sequence(F.lit(0), F.length("context_id") - 1)).alias("l"))
+    near = c.select(F.col("context_id").alias("query_id"), F.length("context_id").alias("l")).join(longer, "l")
+    return same.unionByName(near.select("query_id", "context_id", F.lit(0.85).alias("weight")))
 
 
 _RATED = f"{_NEAR}, e AS (SELECT context_id, concat('m_', seq % 40) AS memory_id, CASE WHEN seq % 4 = 3 THEN 'surfaced' ELSE {_KIND} END AS kind, {_CONF} AS confidence FROM ratings), x AS (SELECT query_id, context_id, memory_id AS id, CASE kind WHEN 'rated_useful' THEN weight * confidence WHEN 'rated_irrelevant' THEN -weight * confidence END AS signed, CASE WHEN kind = 'surfaced' THEN weight * 0.3e0 END AS seen FROM near JOIN e USING (context_id)), g AS (SELECT query_id, id, sum(signed) AS rated, coalesce(sum(signed), 0) + coalesce(sum(seen), 0) AS recall FROM x GROUP BY query_id, id)"

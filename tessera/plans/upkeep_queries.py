@@ -93,6 +93,16 @@ def state_replace_everywhere(spark, sf_dir):
     return state.replace_everywhere(c, "Customer", "Client")
 
 
+@query("SELECT CAST(label AS VARCHAR) AS source_file, count(*) AS records, count(*) AS kept, CAST(0 AS BIGINT) AS removed FROM embeddings GROUP BY label HAVING count(*) >= 5 UNION ALL SELECT 'total', count(*), count(*), 0 FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 5)")
+def dedup_totals(spark, sf_dir):
+    """Vectors of which none is near another, by label and in all."""
+    from tessera.operators import dedup
+
+    v = view(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("source_file"), F.col("vec_id").alias("id"), F.lit("a text of a fixed length, long enough").alias("text"), "embedding")
+    r = dedup.dedup_report(dedup.dedup_sources(v, threshold=0.05))
+    return r.withColumn("source_file", F.coalesce("source_file", F.lit("total")))
+
+
 # ---- queues ----
 
 
@@ -137,6 +147,27 @@ def fb_weak_reasons(spark, sf_dir):
     return services.weak_reasons(r, [r"^no reason\b", r"^n/a$"], near).select("context_id", "id", "weak")
 
 
+@query("""SELECT concat('init_nation_', n_nationkey) AS rev_id, concat('nation_', n_nationkey) AS entity_id, CASE WHEN n_nationkey % 2 = 0 THEN 'intent_state' ELSE 'task_state' END AS schema_id, CASE WHEN n_nationkey % 2 = 0 THEN '{"todos":[]}' ELSE '{"status":"pending","subtodos":[]}' END AS payload, '2024-02-01' AS created_at, 2 AS schema_version FROM nation WHERE n_nationkey % 3 <> 0""")
+def state_initial_revisions(spark, sf_dir):
+    n, k = view(spark, sf_dir, "nation"), F.col("n_nationkey")
+    own = n.select(_cat("nation_", k).alias("entity_id"), F.when(k % 2 == 0, "intent_state").otherwise("task_state").alias("schema_id"))
+    return state.initial_revisions(own.unionByName(own), n.where("n_nationkey % 3 = 0").select(_cat("nation_", k).alias("entity_id")), "2024-02-01")
+
+
+@query("WITH q AS (SELECT user_id, count(*) % 5 AS a FROM events GROUP BY user_id) SELECT count(*) FILTER (WHERE a < 3 AND user_id % 7 <> 0) AS pending, count(*) FILTER (WHERE a >= 3 AND user_id % 7 <> 0) AS frozen FROM q")
+def queue_pending_count(spark, sf_dir):
+    q = view(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") % 5).alias("attempted_count"))
+    return state.pending_count(q.withColumn("resolution", F.when(F.col("user_id") % 7 == 0, "merged")))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS last_run FROM events WHERE event_type = 'purchase' GROUP BY user_id), n AS (SELECT user_id, count(*) AS pending FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 3)
+SELECT user_id AS agent, pending FROM n LEFT JOIN l USING (user_id) WHERE last_run IS NULL OR last_run <= TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 12 HOUR""")
+def queue_due_agents(spark, sf_dir):
+    """Purchases as runs, errors as what waits."""
+    e = view(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), F.col("ts").cast("timestamp").alias("started_ts"), "event_type")
+    return state.due(e.where("event_type = 'purchase'"), e.where("event_type = 'error'"), "2024-01-25", "12 hours", 3).select("agent", "pending")
+
+
 # ---- views and contexts ----
 
 
@@ -253,6 +284,16 @@ def fn_learning_features(spark, sf_dir):
     return f.select("id", *(F.round(F.col(f"f.{c}"), 6).alias(c) for c in ("rel", "imp", "decay")))
 
 
+@query("""WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'abc' ELSE concat(p_name, ' cafe') END AS w, concat('because of Strasse ', p_type) AS y, CASE WHEN p_partkey % 6 = 0 THEN 'some' ELSE '' END AS s FROM part)
+SELECT id, CASE WHEN length(w) < 5 THEN '' ELSE w END AS what, CASE WHEN length(w) < 5 THEN '' ELSE y END AS why, CASE WHEN length(w) < 5 THEN '' ELSE s END AS scope, CASE WHEN length(w) < 5 THEN 'what is too short' ELSE '' END AS problem FROM x""")
+def fn_coerced_summary(spark, sf_dir):
+    k = F.col("p_partkey")
+    what = F.when(k % 4 == 0, " abc ").otherwise(_cat(" ", F.col("p_name"), " café"))
+    made = T.coerced_summary(what, _cat("because of Straße ", F.col("p_type")), F.when(k % 6 == 0, "some").otherwise(" "))
+    p = view(spark, sf_dir, "part").select(k.alias("id"), made.alias("m"))
+    return p.select("id", *(F.coalesce(F.col(f"m.{c}"), F.lit("")).alias(c) for c in ("what", "why", "scope", "problem")))
+
+
 @query("""WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'abc' ELSE p_name END AS w, CASE p_partkey % 5 WHEN 0 THEN 'short' ELSE concat('because of ', p_type, ' and so on') END AS y, CASE WHEN p_partkey % 6 = 0 THEN repeat('s', 101) WHEN p_partkey % 7 = 0 THEN repeat('z', 90) END AS s FROM part)
 SELECT id, CASE WHEN length(w) < 5 THEN 'what is too short' WHEN length(y) < 15 THEN 'why is too short' WHEN length(coalesce(s, '')) > 100 THEN 'scope is too long' WHEN length(w) + length(y) + 4 + length(coalesce(concat('; ', s), '')) > 280 THEN 'summary is too long' ELSE 'none' END AS problem FROM x""")
 def fn_summary_problem(spark, sf_dir):
