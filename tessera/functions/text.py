@@ -131,9 +131,9 @@ def detect_content_type(text: str | Column, keywords: dict[str, list[str]] = X.C
     return out
 
 
-def marker_score(text: str | Column, markers: list[str]) -> Column:
-    """Number of matches of all patterns in the lower-cased text."""
-    low = F.lower(_c(text))
+def marker_score(text: str | Column, markers: list[str], lowered: bool = False) -> Column:
+    """Number of matches of all patterns in the lower-cased text; ``lowered`` says that it is already."""
+    low = _c(text) if lowered else F.lower(_c(text))
     return sum((F.regexp_count(low, F.lit(m)) for m in markers), F.lit(0))
 
 
@@ -182,7 +182,8 @@ def memory_types(df: DataFrame, text: str = "text", least: float = 0.3, markers:
     """Segments with memory_type and confidence; those too short, without a marker or below ``least`` are left out."""
     own = df.columns
     df = once(df.where(F.length(F.trim(text)) >= 20), __prose=extract_prose(text))
-    df = once(df, **{f"__{k}": marker_score("__prose", m) for k, m in markers.items()})
+    df = once(df, __low=F.lower("__prose"))
+    df = once(df, **{f"__{k}": marker_score("__low", m, lowered=True) for k, m in markers.items()})
     score = {k: F.col(f"__{k}") for k in markers}
     best = F.greatest(*score.values())
     bonus = F.when(F.length(text) > 500, 2).when(F.length(text) > 200, 1).otherwise(0)
