@@ -26,8 +26,6 @@ CONCEPT_CONTEXT = [
 ]
 #: Fixed value: confidence from which a learned person is taken in.
 LEAST = 0.75
-#: Words of the longest name that is looked for in texts.
-LONGEST = 6
 
 
 def _ambiguous(rows: DataFrame, common: DataFrame) -> DataFrame:
@@ -102,17 +100,16 @@ def _signs(patterns: list[str]) -> Column:
 def mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     """(id, name): the people whose names or aliases stand in texts (id, text) as words, in any case.
 
-    Runs of up to ``LONGEST`` words are joined with the names' words, and the text is then searched for the name as it is
-    written.  A name that is a common word too counts only where more speaks for a person than against.
+    Words and pairs of words are joined with the first two words of the names, and the text is then searched for the name as
+    it is written.  A name that is a common word too counts only where more speaks for a person than against.
     """
     people = registry.where("type = 'person'").select("name", "ambiguous", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("form"))
-    people = people.withColumn("__k", F.array_join(_words("form"), " ")).where("__k <> ''")
+    people = people.withColumn("__k", F.array_join(F.slice(_words("form"), 1, 2), " ")).where("__k <> ''")
     flagged = people.where("ambiguous").select(F.lower("name").alias("__low")).distinct()  # a form is ambiguous if it is the name of an ambiguous entry
     people = people.join(flagged, F.lower("form") == F.col("__low"), "left").withColumn("doubtful", F.col("__low").isNotNull()).drop("__low", "ambiguous")
     w = texts.select("id", _words("text").alias("w"))
-    none = F.array().cast("array<string>")
-    run = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
-    runs = w.select("id", F.explode(F.array_distinct(F.concat(*(F.when(F.size("w") >= n, run(n)).otherwise(none) for n in range(1, LONGEST + 1))))).alias("__k"))
+    pairs = F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    runs = w.select("id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("__k"))
     met = runs.join(people, "__k").select("id", "name", "form", "doubtful").distinct().join(texts.select("id", "text"), "id")
     met = met.withColumn("__e", _escaped("form")).where(F.regexp_like("text", F.concat(F.lit(r"(?iU)\b"), F.col("__e"), F.lit(r"\b"))))
     met = met.withColumn("__e", F.lower("__e"))

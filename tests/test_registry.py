@@ -64,3 +64,11 @@ def test_mentions_against_every_name(spark, seeded):
                     want.add((i, r.name))
     got = {(r.id, r.name) for r in R.mentions(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), seeded).collect()}
     assert got == want and (0, "Maxwell") in got and (2, "Grace") not in got
+
+
+def test_mentions_of_long_names(spark):
+    long = "Pablo Diego Jose Francisco de Paula Juan Nepomuceno"
+    known = spark.createDataFrame([(long, "person", [], False), ("Pablo Diego", "person", ["P. D"], False), ("Pablo", "person", None, False)], "name string, type string, aliases array<string>, ambiguous boolean")
+    texts = spark.createDataFrame([(0, f"so {long.upper()}, too"), (1, "Pablo Diego Jose"), (2, "Pablo"), (3, "Pablo  Diego"), (4, "p. d. Pablos"), (5, ""), (6, "diego pablo")], "id int, text string")
+    got = sorted((r.id, r.name) for r in R.mentions(texts, known).collect())
+    assert got == [(0, "Pablo"), (0, "Pablo Diego"), (0, long), (1, "Pablo"), (1, "Pablo Diego"), (2, "Pablo"), (3, "Pablo"), (4, "Pablo Diego"), (6, "Pablo")]
