@@ -56,9 +56,6 @@ SAME = 75
 TRIGRAMS, TRIGRAM_BITS = 4, (512, 1 << 14)
 #: Members of a block that are compared one by one; larger groups share a bucket as they are.
 COMPARED = 256
-#: An alignment of all words costs so much more than the edit distance at most (of a thousand pairs of real lines the largest
-#: ratio was 1.11).  Lines of more than so many bytes are judged by their alignment alone.
-SURE, EXACT = 1.25, 4096
 #: Lines whose blocks a task remembers to have told.
 TOLD = 1_000_000
 
@@ -207,7 +204,12 @@ def edit_distance(a: str, b: str, limit: float = float("inf")) -> int:
     top = 1 << (len(a) - 1)
     plus, minus, score = every, 0, len(a)
     bound = limit + len(b)  # a column lowers the score by one at most
-    for c in b:
+    check = step = max(16, int(limit)) if limit < len(b) else len(b) + 1
+    for j, c in enumerate(b):
+        if j == check:
+            if _beyond(plus, minus, j, len(a), len(b), int(limit)):
+                return int(limit) + 1
+            check += step
         eq = at.get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -227,6 +229,21 @@ def edit_distance(a: str, b: str, limit: float = float("inf")) -> int:
     return score
 
 
+def _beyond(plus: int, minus: int, j: int, n: int, m: int, limit: int) -> bool:
+    """Whether all paths through a column of the distances of n rows to m columns, given by its steps up and down, cost over the limit."""
+    low, high = max(0, j - limit), min(n, j + limit)
+    below = (1 << low) - 1
+    d = j + (plus & below).bit_count() - (minus & below).bit_count()
+    plus, minus = plus >> low, minus >> low
+    for i in range(low, high + 1):
+        if d + abs(n - i - m + j) <= limit:
+            return False
+        d += (plus & 1) - (minus & 1)
+        plus >>= 1
+        minus >>= 1
+    return True
+
+
 def at_most(a: str, b: str, limit: float) -> float:
     """An upper bound of the edit distance: the cost of an alignment of words that steps over differences.
 
@@ -322,11 +339,8 @@ def similar(a: str, b: str, percent: int = SIMILAR) -> bool:
         return False
     if longer <= 128:
         return edit_distance(a, b, least) <= least
-    most = at_most(a, b, SURE * least)
-    if most <= least:
+    if at_most(a, b, least) <= least:
         return True
-    if SURE * least < most < float("inf") or longer > EXACT:
-        return False
     return at_least(a, b) <= least and edit_distance(a, b, least) <= least
 
 

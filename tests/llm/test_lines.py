@@ -244,3 +244,28 @@ def test_long_lines_and_equal_words():
     lines = ["a " * 1000 + "b", "same " * 70_000 + "end", "x" * 300_000, "p q r s t u v w x y z a b c"]
     simhash, blocks, n = signed([x.strip() for x in lines])
     assert n.tolist() == [1001, 70_001, 1, 14] and all(blocks)
+
+
+def test_similar_is_exact_beyond_alignments():
+    a = "f b eee ff ee ff fff aaa b fff ff bb ee hh g a aaa hhh e ff ff ee fff c cc ddd c cc a eee b e b ddd ccc g ff e ddd h gg fff dd bb g aaa ggg h ggg g ff a eee aaa bb fff eee ggg ggg ee"
+    b = "f b eee ff ee ff fff aaaa b fff ffbb ee hh g a aaa hhh e ff ff eefff c cca ddd c cc a eee b e b ddeccc g ff ea ddd h gg fff dd bb g aaa ggg h ggg g ff c eee aaa bb fff eee ggg ggg ee"
+    assert levenshtein(a, b) == 8 and L.at_most(a, b, 99) > 1.25 * 18.2 and L.similar(a, b)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=39)) for _ in range(150)]
+    long = " ".join(words)
+    changed = " ".join(w[:20] + "z" + w[21:] for w in words)  # no word is left as it was
+    assert len(long) > 4096 and L.similar(long, changed)
+    assert not L.similar(long, " ".join(w[:15] + "zzzzz" + w[20:] for w in words))
+
+
+def test_distance_within_a_limit():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = "".join(rng.choices("abc", k=rng.randint(1, 120)))
+        b = list(a) if rng.random() < 0.7 else rng.choices("abc", k=rng.randint(1, 120))
+        for _ in range(rng.randint(0, 40)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = rng.choices("abc", k=rng.randint(0, 1))
+        b, limit = "".join(b), rng.choice([3, 10.5, 17, 30])
+        d = levenshtein(a, b)
+        assert (L.edit_distance(a, b, limit) <= limit) == (d <= limit) and (d > limit or L.edit_distance(a, b, limit) == d)
