@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tessera.operators.ranking import top_k
 
@@ -27,6 +27,8 @@ CONTEXT_REUSE, CONTEXT_SIMILAR = 0.90, 0.65
 MOST_QUERIES, MOST_NUMBERS = 100_000, 20_000_000
 #: Vectors and queries of a block.
 BLOCK, QUERIES = 8192, 512
+#: Vectors of a block that are settled by owner.
+OWNERS = 2048
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[Column | str], Column]:
@@ -127,6 +129,22 @@ def collapse_views(hits: DataFrame, owners: DataFrame) -> DataFrame:
     return hits.join(owners.select("id", "owner_id"), "id").groupBy("query_id", "view", "owner_id").agg(F.round(F.max("similarity"), 3).alias("similarity"))
 
 
+def _by_query(queries: DataFrame) -> tuple[pa.Array, int, np.ndarray, np.ndarray, dict]:
+    """The queries' ids; of all their vectors in order: the number, where each view begins, which view begins each query, and the units."""
+    q = queries.select("query_id", "view", F.col("query").cast("array<double>").alias("query"))
+    got = q.limit(MOST_QUERIES + 1).toArrow()
+    rows = got.column("query").to_pylist()
+    if len(rows) > MOST_QUERIES or sum(len(x) for x in rows if x) > MOST_NUMBERS:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors or {MOST_NUMBERS} numbers in them: split them into batches, or use an index")
+    at: dict = {}
+    for i, key in enumerate(zip(got.column("query_id").to_pylist(), got.column("view").to_pylist())):
+        at.setdefault(key[0], {}).setdefault(key[1], []).append(i)
+    each = [rows_of for views in at.values() for rows_of in views.values()]
+    begins = lambda sizes: np.cumsum([0, *sizes], dtype=np.int64)[:-1]
+    names = pa.array(list(at), got.schema.field("query_id").type)
+    return names, len(rows), begins(map(len, each)), begins(map(len, at.values())), _units([rows[i] for x in each for i in x])
+
+
 def per_view_maxima(queries: DataFrame, views: DataFrame) -> DataFrame:
     """(query_id, view, owner_id, best): for each query view and owner the best cosine over the owner's views, 0 at least."""
     scored = score_queries(queries, views).join(views.select("id", "owner_id"), "id")
@@ -134,9 +152,102 @@ def per_view_maxima(queries: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def min_max_similarity(queries: DataFrame, views: DataFrame) -> DataFrame:
-    """(query_id, owner_id, max_sim, min_sim) over the query's views, in one pass."""
-    m = per_view_maxima(queries, views)
-    return m.groupBy("query_id", "owner_id").agg(F.max("best").alias("max_sim"), F.min("best").alias("min_sim"))
+    """(query_id, owner_id, max_sim, min_sim) over the query's views, in one pass.
+
+    An owner's vectors come to one task, one after the other, and all queries are there: vectors travel, pairs don't.
+    """
+    sent = views.sparkSession.sparkContext.broadcast(_by_query(queries))
+    rows = views.where("id IS NOT NULL").select("owner_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = StructType([queries.schema["query_id"], views.schema["owner_id"], StructField("max_sim", DoubleType()), StructField("min_sim", DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def emit(names: pa.Array, chunk: tuple, best: np.ndarray, owners: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Rows of a chunk's queries from the best of each query vector and owner."""
+        begin, _, _, of_view, of_query = chunk
+        best = np.maximum.reduceat(best, of_view, axis=0)
+        high, low = (f.reduceat(best, of_query, axis=0).ravel() for f in (np.maximum, np.minimum))
+        for c in range(0, len(high), 1 << 16):
+            at = np.arange(c, min(c + (1 << 16), len(high)))
+            columns = [names.take(pa.array(begin + at // len(owners))), owners.take(pa.array(at % len(owners))), pa.array(high[at]), pa.array(low[at])]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, out)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, n, of_view, of_query, units = sent.value
+        chunks, k = [], 0
+        while k < len(names):
+            first = of_view[of_query]
+            m = max(k + 1, int(np.searchsorted(np.append(first[1:], n), first[k] + QUERIES, side="right")))
+            stop = of_query[m] if m < len(names) else len(of_view)
+            high = of_view[stop] if m < len(names) else n
+            chunks.append((k, first[k], high, of_view[of_query[k] : stop] - first[k], of_query[k:m] - of_query[k]))
+            k = m
+        at, held = None, np.zeros(n)  # the owner whose vectors may go on in the next block, and its best with each query vector
+        for whole in batches if chunks else ():
+            for begin in range(0, whole.num_rows, OWNERS):
+                part = whole.slice(begin, OWNERS)
+                ids = part.column(0).to_pylist()
+                start = np.array([0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])])
+                owners = part.column(0).take(pa.array(start))
+                mine = _units(part.column(1).to_pylist())
+                goes_on = at is not None and at[0].as_py() == ids[0]
+                for chunk in chunks:
+                    low, high = chunk[1:3]
+                    if at is not None and not goes_on:
+                        yield from emit(names, chunk, held[low:high, None], at)
+                    sim = np.zeros((high - low, part.num_rows))
+                    for d, (of, x) in units.items():
+                        a, b = np.searchsorted(of, (low, high))
+                        if d in mine and b > a:
+                            sim[np.ix_(of[a:b] - low, mine[d][0])] = x[a:b] @ mine[d][1].T
+                    best = np.maximum(np.maximum.reduceat(sim, start, axis=1), 0)
+                    if goes_on:
+                        best[:, 0] = np.maximum(best[:, 0], held[low:high])
+                    held[low:high] = best[:, -1]
+                    if len(owners) > 1:
+                        yield from emit(names, chunk, best[:, :-1], owners[:-1])
+                at = owners[-1:]
+        if at is not None:
+            for chunk in chunks:
+                yield from emit(names, chunk, held[chunk[1] : chunk[2], None], at)
+
+    return rows.repartition("owner_id").sortWithinPartitions("owner_id").mapInArrow(run, schema)
+
+
+def _near_extremes(queries: DataFrame, views: DataFrame, near: DataFrame) -> DataFrame:
+    """``min_max_similarity`` of the pairs ``near`` (query_id, owner_id): these meet the owners' vectors, so that no other pair travels."""
+    sent = views.sparkSession.sparkContext.broadcast(_by_query(queries))
+    rows = near.join(views.where("id IS NOT NULL").select("owner_id", F.col("embedding").cast("array<double>").alias("embedding")), "owner_id")
+    schema = StructType([queries.schema["query_id"], views.schema["owner_id"], StructField("view", LongType()), StructField("best", DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, n, of_view, of_query, units = sent.value
+        number = {x: i for i, x in enumerate(names.to_pylist())}
+        stops = np.append(of_query[1:], len(of_view))
+        ends = np.append(of_view[1:], n)
+        for whole in batches:
+            ids, mine = whole.column(0).to_pylist(), _units(whole.column(2).to_pylist())
+            who, view, best = [], [], []
+            where = {d: dict(zip(of.tolist(), range(len(of)))) for d, (of, _) in mine.items()}
+            for i, x in enumerate(ids):
+                k = number[x]
+                low, high = of_view[of_query[k]], ends[stops[k] - 1]
+                sim = np.zeros(high - low)
+                for d, (of, u) in units.items():
+                    a, b = np.searchsorted(of, (low, high))
+                    if b > a and i in where.get(d, ()):
+                        sim[of[a:b] - low] = u[a:b] @ mine[d][1][where[d][i]]
+                best.append(np.maximum(np.maximum.reduceat(sim, of_view[of_query[k] : stops[k]] - low), 0))
+                view.append(np.arange(len(best[-1])))
+                who.append(np.full(len(best[-1]), i))
+            if ids:
+                at = pa.array(np.concatenate(who))
+                columns = [whole.column(0).take(at), whole.column(1).take(at), pa.array(np.concatenate(view)), pa.array(np.concatenate(best))]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, out)], schema=out)
+
+    rows = rows.select("query_id", "owner_id", "embedding").mapInArrow(run, schema)
+    each = rows.groupBy("query_id", "owner_id", "view").agg(F.max("best").alias("best"))
+    return each.groupBy("query_id", "owner_id").agg(F.max("best").alias("max_sim"), F.min("best").alias("min_sim"))
 
 
 def resolve_contexts(queries: DataFrame, views: DataFrame, reuse: float = CONTEXT_REUSE, similar: float = CONTEXT_SIMILAR, k: int = 20) -> DataFrame:
@@ -145,7 +256,7 @@ def resolve_contexts(queries: DataFrame, views: DataFrame, reuse: float = CONTEX
     Candidates are owners among the ``k`` nearest of any view.
     """
     near = collapse_views(cosine_top_k(queries, views, k), views).select("query_id", "owner_id").distinct()
-    m = min_max_similarity(queries, views).join(near, ["query_id", "owner_id"])
+    m = _near_extremes(queries, views, near)
     best = m.groupBy("query_id").agg(
         F.max(F.struct(F.round("min_sim", 6).alias("s"), "owner_id")).alias("lo"), F.max(F.struct(F.round("max_sim", 6).alias("s"), "owner_id")).alias("hi")
     )

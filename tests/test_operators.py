@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,34 @@ def test_multi_view(spark):
     assert vector.resolve_contexts(q, v).first().reused is False
 
 
+def test_pairs_of_queries_and_owners_do_not_travel(spark, monkeypatch):
+    monkeypatch.setattr(vector, "OWNERS", 7)
+    monkeypatch.setattr(vector, "QUERIES", 3)
+    rng = np.random.default_rng(5)
+    vecs = [(i, i % 9 if i % 10 else None, None if i == 4 else [0.0, 0.0] if i == 5 else rng.normal(size=3 if i % 13 == 0 else 2).tolist()) for i in range(120)]
+    asked = [(k, v, rng.normal(size=2).tolist()) for k in range(5) for v in range(k + 1)] + [(0, 0, [1.0, 0.5]), (3, 1, None)]
+    v = spark.createDataFrame(vecs, "id int, owner_id int, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id int, view int, query array<double>")
+
+    def cosine(a, b):
+        return 0.0 if a is None or b is None or len(a) != len(b) or not any(a) or not any(b) else float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+
+    want = {}
+    for k in {a[0] for a in asked}:
+        for o in {x[1] for x in vecs}:
+            best = {}
+            for _, w, e in (a for a in asked if a[0] == k):
+                best[w] = max([best.get(w, 0.0), *(cosine(e, x[2]) for x in vecs if x[1] == o)])
+            want[k, o] = (round(max(best.values()), 9), round(min(best.values()), 9))
+    found = vector.min_max_similarity(q, v)
+    assert {(r.query_id, r.owner_id): (round(r.max_sim, 9), round(r.min_sim, 9)) for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "Join" not in plan
+    near = spark.createDataFrame([(0, 1), (3, 2), (4, 8)], "query_id int, owner_id int")
+    got = {(r.query_id, r.owner_id): (round(r.max_sim, 9), round(r.min_sim, 9)) for r in vector._near_extremes(q, v, near).collect()}
+    assert got == {k: want[k] for k in [(0, 1), (3, 2), (4, 8)]}
+
+
 def test_text_functions(spark):
     def f(c):
         return one(spark, c.alias("x")).x
