@@ -31,14 +31,13 @@ def top_k_by_filter(queries: DataFrame, vectors: DataFrame, k: int = 10, most: i
     trees = [r[0] for r in queries.select("filter").distinct().limit(most + 1).collect()]
     if len(trees) > most:
         raise ValueError(f"more than {most} different filters: split the queries")
-    parts = [vector.score_queries(queries.where(F.col("filter").eqNullSafe(t)), filtered(vectors, t)) for t in trees]
+    parts = [vector.cosine_top_k(queries.where(F.col("filter").eqNullSafe(t)), filtered(vectors, t), k) for t in trees]
     if not parts:
         return vector.cosine_top_k(queries, vectors, k)
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    scored = scored.withColumn("similarity", F.round("similarity", 6))
-    return ranking.top_k(scored, ["query_id", "view"], [F.desc("similarity"), "id"], k)
+    return ranking.top_k(scored.drop("rank"), ["query_id", "view"], [F.desc("similarity"), "id"], k)
 
 
 def cosine_lists(hits: DataFrame, owners: DataFrame) -> DataFrame:

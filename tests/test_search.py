@@ -211,3 +211,11 @@ def test_channels_by_hand(spark):
     assert set(lists(triples=t, seeds=own)["graph"]) == {"a"}
     made = index.build(v, lists=1)
     assert lists(by=made, tree={"kind": "note"})["cosine_0"] == lists(tree={"kind": "note"})["cosine_0"]
+
+
+def test_top_k_by_filter_keeps_no_pairs_of_all(spark, sf, monkeypatch):
+    from tessera.operators import vector
+    from tessera.plans import search_queries
+
+    monkeypatch.setattr(vector, "score_queries", None)  # every task keeps only what may be among the nearest
+    assert search_queries.vec_top_k_by_filter(spark, sf).count() > 0
