@@ -219,3 +219,11 @@ def test_top_k_by_filter_keeps_no_pairs_of_all(spark, sf, monkeypatch):
 
     monkeypatch.setattr(vector, "score_queries", None)  # every task keeps only what may be among the nearest
     assert search_queries.vec_top_k_by_filter(spark, sf).count() > 0
+
+
+def test_adaptive_k_keeps_no_pairs_of_all(spark, sf, monkeypatch):
+    from tessera.operators import vector
+    from tessera.plans import rank_queries
+
+    monkeypatch.setattr(vector, "score_queries", None)
+    assert rank_queries.rank_adaptive_k(spark, sf).count() > 0
