@@ -29,7 +29,7 @@ def rrf(candidates: DataFrame, k: int = 60) -> DataFrame:
 
     ``channels`` are the sorted prefixes of the lists that hold the id; ``primary`` is the first list by name.
     """
-    ranked = rank_lists(candidates)
+    ranked = rank_lists(candidates.repartition("query_id"))  # once, for lists, ranks and sums
     return ranked.groupBy("query_id", "id").agg(
         F.sum(F.coalesce("weight", F.lit(1.0)) / (k + F.col("rank"))).alias("rrf"),
         F.array_join(F.array_sort(F.collect_set(F.element_at(F.split("list_name", "_"), 1))), ",").alias("channels"),

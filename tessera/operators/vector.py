@@ -213,7 +213,7 @@ def min_max_similarity(queries: DataFrame, views: DataFrame) -> DataFrame:
     return rows.repartition("owner_id").sortWithinPartitions("owner_id").mapInArrow(run, schema)
 
 
-def _near_extremes(queries: DataFrame, views: DataFrame, near: DataFrame) -> DataFrame:
+def near_extremes(queries: DataFrame, views: DataFrame, near: DataFrame) -> DataFrame:
     """``min_max_similarity`` of the pairs ``near`` (query_id, owner_id): these meet the owners' vectors, so that no other pair travels."""
     sent = views.sparkSession.sparkContext.broadcast(_by_query(queries))
     rows = near.join(views.where("id IS NOT NULL").select("owner_id", F.col("embedding").cast("array<double>").alias("embedding")), "owner_id")
@@ -256,7 +256,7 @@ def resolve_contexts(queries: DataFrame, views: DataFrame, reuse: float = CONTEX
     Candidates are owners among the ``k`` nearest of any view.
     """
     near = collapse_views(cosine_top_k(queries, views, k), views).select("query_id", "owner_id").distinct()
-    m = _near_extremes(queries, views, near)
+    m = near_extremes(queries, views, near)
     best = m.groupBy("query_id").agg(
         F.max(F.struct(F.round("min_sim", 6).alias("s"), "owner_id")).alias("lo"), F.max(F.struct(F.round("max_sim", 6).alias("s"), "owner_id")).alias("hi")
     )

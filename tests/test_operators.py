@@ -194,7 +194,7 @@ def test_pairs_of_queries_and_owners_do_not_travel(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and "Join" not in plan
     near = spark.createDataFrame([(0, 1), (3, 2), (4, 8)], "query_id int, owner_id int")
-    got = {(r.query_id, r.owner_id): (round(r.max_sim, 9), round(r.min_sim, 9)) for r in vector._near_extremes(q, v, near).collect()}
+    got = {(r.query_id, r.owner_id): (round(r.max_sim, 9), round(r.min_sim, 9)) for r in vector.near_extremes(q, v, near).collect()}
     assert got == {k: want[k] for k in [(0, 1), (3, 2), (4, 8)]}
 
 
@@ -256,3 +256,9 @@ def test_rankers(spark):
     assert r.x == round(0.85 * 0.6 * 0.4 * 0.8, 6)
     s = rankers.split_dev(spark.range(200).select("id"), 50)
     assert s.where("part = 'dev'").count() == 50
+
+
+def test_fusion_shuffles_candidates_once(spark):
+    c = spark.range(100).select((F.col("id") % 3).alias("query_id"), F.lit("a_0").alias("list_name"), F.lit(1.0).alias("weight"), "id", F.col("id").cast("double").alias("score"))
+    plan = ranking.rrf(c)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
