@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import once
+
 #: Patterns with {name} in place of the candidate.
 PERSON_VERBS = [
     r"\b{name}\s+said\b", r"\b{name}\s+asked\b", r"\b{name}\s+told\b", r"\b{name}\s+replied\b", r"\b{name}\s+laughed\b", r"\b{name}\s+smiled\b",
@@ -37,23 +41,68 @@ def candidates(docs: DataFrame, stop: list[str] = (), least: int = 3, by: list[s
     return names.groupBy(*by, "name").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
 
 
-def _count(pattern: str, text: str | Column = "text") -> Column:
+def _cues(pattern: str) -> list[str]:
+    """Literals of which every match of a pattern holds one, in lower case: the longest of each alternative, '' if it has none."""
+    group = re.search(r"\(\?:([^()]*)\)(?!\?)", pattern)
+    if group:
+        return [c for x in group[1].split("|") for c in _cues(pattern[: group.start()] + x + pattern[group.end() :])]
+    plain = re.sub(r"\\[bswd][+*]?|\{name\}|\\(\W)|\[[^\]]*\]|\(\?:[^()]*\)\?|.\?|\^", lambda m: m[1] or "\n", pattern)
+    return [max(x.split("\n"), key=len) for x in plain.split("|")]
+
+
+def _held(pattern: str) -> Column:
+    """Whether a text, of which ``__low`` is the lower-case form, has what stands around the name in one of the pattern's alternatives."""
+    any_of = F.lit(False)
+    for part in [pattern] if "(" in pattern else pattern.split("|"):
+        low, (before, after), cued = F.col("__low"), part.split("{name}"), F.lit(False)
+        for c in _cues(part):
+            cued = cued | low.contains(c)
+        for x in (before.removesuffix(r"\b"), after.removeprefix(r"\b")):
+            cued = cued & low.rlike(f"(?m){x}") if x else cued
+        any_of = any_of | cued
+    return any_of
+
+
+#: Patterns that are searched only in texts that hold a cue of theirs.
+_PATTERNS = [*DIALOGUE, *PERSON_VERBS, DIRECT, *PROJECT_VERBS, VERSIONED, CODE_REFERENCE]
+
+
+def prepared(texts: DataFrame) -> DataFrame:
+    """Rows with a text and what ``scores`` asks of it whatever the name: which patterns have a cue in it, and which lines a pronoun."""
+    rows = once(texts, __low=F.lower("text"))
+    lines = F.transform(F.split("__low", "\n"), lambda x: x.rlike(PRONOUNS))
+    rows = once(rows, __cued=F.array(*map(_held, _PATTERNS)), __pronouns=lines)
+    return rows.drop("__low")
+
+
+def _count(pattern: str) -> Column:
     """Matches of a pattern of the row's own name, any case, at line starts too."""
     escaped = F.regexp_replace("name", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    return F.regexp_count(text, F.replace(F.lit(f"(?im){pattern}"), F.lit("{name}"), escaped))
+    found = F.regexp_count("text", F.replace(F.lit(f"(?im){pattern}"), F.lit("{name}"), escaped))
+    held = F.col("__cued")[_PATTERNS.index(pattern)]
+    if pattern == VERSIONED:  # most texts have its signs somewhere: look for them behind the name; letters beyond ASCII may change with what follows
+        low, name = F.lower("text"), F.lower("name")
+        held = held & (F.contains(low, F.concat(name, F.lit("-"))) | F.contains(low, F.concat(name, F.lit("v"))) | F.col("name").rlike("[^ -~]"))
+    return F.when(held, found).otherwise(0)
 
 
 def scores(named: DataFrame) -> DataFrame:
-    """Rows (name, frequency, text) with person_score, project_score and the number of kinds of person signals."""
-    dialogue = sum((_count(p) for p in DIALOGUE), F.lit(0))
-    verbs = sum((_count(p) for p in PERSON_VERBS), F.lit(0))
-    lines = F.split(F.lower("text"), "\n")
-    around = F.transform(lines, lambda x, i: F.contains(x, F.lower("name")) & F.array_join(F.slice(lines, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 3), " ").rlike(PRONOUNS))
-    pronoun = F.size(F.filter(around, lambda x: x))
-    direct = _count(DIRECT)
+    """Rows (name, frequency, text) with person_score, project_score and the number of kinds of person signals.
+
+    Where many names share a text, join them with its ``prepared`` form, so that it is searched for cues once.
+    """
+    own = [c for c in named.columns if c not in ("__cued", "__pronouns")]
+    rows = named if len(own) < len(named.columns) else prepared(named)
+    near = lambda i: F.exists(F.slice("__pronouns", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 3), lambda x: x)
+    around = F.transform(F.split(F.lower("text"), "\n"), lambda x, i: near(i) & F.contains(x, F.lower("name")))
     projects = sum((_count(p) for p in PROJECT_VERBS), F.lit(0)) * 2 + _count(VERSIONED) * 3 + _count(CODE_REFERENCE) * 3
+    rows = once(
+        rows, __dialogue=sum((_count(p) for p in DIALOGUE), F.lit(0)), __verbs=sum((_count(p) for p in PERSON_VERBS), F.lit(0)),
+        __pronoun=F.size(F.filter(around, lambda x: x)), __direct=_count(DIRECT), __projects=projects,
+    )
+    dialogue, verbs, pronoun, direct = (F.col(f"__{k}") for k in ("dialogue", "verbs", "pronoun", "direct"))
     kinds = sum(((c > 0).cast("int") for c in (dialogue, verbs, pronoun, direct)), F.lit(0))
-    return named.withColumn("person_score", dialogue * 3 + verbs * 2 + pronoun * 2 + direct * 4).withColumn("project_score", projects).withColumn("kinds", kinds)
+    return rows.select(*own, (dialogue * 3 + verbs * 2 + pronoun * 2 + direct * 4).alias("person_score"), F.col("__projects").alias("project_score"), kinds.alias("kinds"))
 
 
 def classify(scored: DataFrame) -> DataFrame:

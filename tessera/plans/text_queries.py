@@ -232,7 +232,7 @@ def entity_candidates(spark, sf_dir):
 @query()
 def entity_classification(spark, sf_dir):
     d = view(spark, sf_dir, "documents")
-    c = entities.candidates(d, ["the", "and"]).join(d.select("doc_id", "text"), "doc_id")
+    c = entities.candidates(d, ["the", "and"]).join(entities.prepared(d.select("doc_id", "text")), "doc_id")
     return entities.capped(entities.classify(entities.scores(c)), ["doc_id"]).select("doc_id", "name", "frequency", "person_score", "project_score", "type", "confidence")
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tessera.operators import entities
 from tessera.plans import text_queries as Q
 
 
@@ -35,6 +36,33 @@ def test_candidates_against_brute_force(spark, tmp_path):
     assert got == want and (2, "Zora") in got
 
 
+def _scores(name: str, text: str) -> tuple:
+    count = lambda p: len(re.findall(p.replace("{name}", re.escape(name)), text, re.I | re.M | re.A))
+    total = lambda ps: sum(map(count, ps))
+    lines = text.lower().split("\n")
+    pronoun = sum(name.lower() in x and bool(re.search(entities.PRONOUNS, " ".join(lines[max(i - 2, 0) : i + 3]), re.A)) for i, x in enumerate(lines))
+    dialogue, verbs, direct = total(entities.DIALOGUE), total(entities.PERSON_VERBS), count(entities.DIRECT)
+    project = total(entities.PROJECT_VERBS) * 2 + count(entities.VERSIONED) * 3 + count(entities.CODE_REFERENCE) * 3
+    return dialogue * 3 + verbs * 2 + pronoun * 2 + direct * 4, project, sum(x > 0 for x in (dialogue, verbs, pronoun, direct))
+
+
+def test_scores_against_brute_force_with_texts_searched_once(spark):
+    say = ["hey {}", "Thanks {}", "HI {}", "> {}: yes", "{}: no", "[{}] and", '"{} said', "the {} Repo", "pip INSTALL {}", "{}.ts", "{}-core", "{}v2 x", "shipped {}", "{} loves it", "she left", "nothing", "Of theirs"]
+    texts = [(i, "\n".join(say[(i * 7 + k * (i % 5 + 1)) % len(say)].format(("Zora", "zora", "Of", "Ana Lee")[(i + k) % 4]) for k in range(i % 9))) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (60, "\n".join(["she"] + ["Zora"] * 4 + ["it"]))], "doc_id int, text string")
+    names = spark.createDataFrame([("Zora",), ("Of",), ("Ana Lee",)], "name string").withColumn("frequency", F.lit(3))
+    plain = entities.scores(names.crossJoin(docs)).collect()
+    shared = entities.scores(names.crossJoin(entities.prepared(docs))).collect()
+    got = {(r.doc_id, r.name): (r.person_score, r.project_score, r.kinds) for r in shared}
+    assert got == {(r.doc_id, r.name): _scores(r.name, r.text) for r in plain} == {(r.doc_id, r.name): (r.person_score, r.project_score, r.kinds) for r in plain}
+    assert sum(p > 0 for p, _, _ in got.values()) > 20 and sum(q > 0 for _, q, _ in got.values()) > 20
+
+
+def test_cues_are_of_every_alternative():
+    assert entities._cues(entities.DIRECT) == ["hey", "thank", "hi"] and entities._cues(entities.VERSIONED) == [""]
+    assert entities._cues(r"\bship(?:ping|ped)?\s+{name}\b") == ["ship"] and ".sh" in entities._cues(entities.CODE_REFERENCE)
+
+
 def test_answers_of_any_letters(spark, tmp_path):
     items = [(1, "The  Cat, and a dog!"), (2, "El niño; the café"), (3, None), (4, "")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
