@@ -102,8 +102,9 @@ def rank_multi_channel(spark, sf_dir):
 
     q = _multi(spark, sf_dir)
     p = view(spark, sf_dir, "part")
-    posts = p.select(F.concat(F.lit("part_"), "p_partkey").alias("entity_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]{3,8}"), F.lit(0)))).alias("keyword"))
-    idfs = keywords.keyword_idf(posts, p.select(F.concat(F.lit("part_"), "p_partkey").alias("id"), F.lit("active").alias("status")))
+    words = p.select(F.concat(F.lit("part_"), "p_partkey").alias("entity_id"), F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]{3,8}"), F.lit(0))).alias("keywords"))
+    posts = words.select("entity_id", F.explode("keywords").alias("keyword"))
+    idfs = keywords.keyword_idf(words, p.select(F.concat(F.lit("part_"), "p_partkey").alias("id"), F.lit("active").alias("status")))
     owner = F.concat(F.lit("part_"), F.floor(F.col("vec_id") / 4))
     vectors = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", owner.alias("owner_id"))
     asked = q.select("query_id", F.concat(F.lit("part_"), "query_id").alias("entity_id")).distinct().join(posts, "entity_id").select("query_id", "keyword")

@@ -227,3 +227,15 @@ def test_adaptive_k_keeps_no_pairs_of_all(spark, sf, monkeypatch):
 
     monkeypatch.setattr(vector, "score_queries", None)
     assert rank_queries.rank_adaptive_k(spark, sf).count() > 0
+
+
+def test_idf_of_arrays_counts_each_entity_once(spark):
+    from tessera.operators import keywords
+
+    rows = [("a", ["x", "y", "x"]), ("a", ["x", "z"]), ("b", ["x", None]), ("gone", ["x"]), ("c", []), ("d", None), ("lost", ["y"])]
+    words = spark.createDataFrame(rows, "entity_id string, keywords array<string>")
+    records = spark.createDataFrame([(i, "deleted" if i == "gone" else "active") for i in ("a", "b", "b", "c", "d", "gone")], "id string, status string")
+    got = keywords.keyword_idf(words, records)
+    plain = keywords.keyword_idf(words.select("entity_id", F.explode("keywords").alias("keyword")), records)
+    assert {(r.keyword, r.freq) for r in got.collect()} == {("x", 2), ("y", 1), ("z", 1), (None, 1)}
+    assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
