@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import degree_damping
+from tessera.operators.merges import _cut
 from tessera.schemas import HIDDEN_PREDICATES, SKIP_PREDICATES
 
 
@@ -74,13 +75,27 @@ def query_relationship(triples: DataFrame, entities: DataFrame, predicate: str,
     )
 
 
+#: Facts of a timeline that are sent to all tasks to be named.
+MOST_NAMED = 10_000
+
+
 def timeline(triples: DataFrame, entities: DataFrame, entity: str | None = None, limit: int = 100) -> DataFrame:
-    """The oldest ``limit`` facts, of an entity or of all; facts without a start come last, ties by id."""
+    """The oldest ``limit`` facts, of an entity or of all; facts without a start come last, ties by id.
+
+    Only four times ``limit`` of the oldest facts meet the entities.  If too few of them have both ends, all facts do.
+    """
     if entity is not None:
         triples = triples.where((F.col("subject") == entity) | (F.col("object") == entity))
     s = entities.select(F.col("id").alias("subject"), F.col("name").alias("subject_name"))
     o = entities.select(F.col("id").alias("object"), F.col("name").alias("object_name"))
-    out = triples.join(s, "subject").join(o, "object").orderBy(F.asc_nulls_last("valid_from"), "id").limit(limit)
+    order = [F.asc_nulls_last("valid_from"), "id"]
+    out = None
+    if limit <= MOST_NAMED // 4:
+        oldest = _cut(triples.orderBy(*order).limit(4 * limit))
+        named = _cut(F.broadcast(F.broadcast(oldest).join(s, "subject")).join(o, "object").orderBy(*order).limit(limit))
+        out = named if named.count() == limit or oldest.count() < 4 * limit else None
+    if out is None:
+        out = triples.join(s, "subject").join(o, "object").orderBy(*order).limit(limit)
     return out.select(F.col("id").alias("triple_id"), "subject_name", "predicate", "object_name", "valid_from", "valid_to", is_current().alias("current"))
 
 
