@@ -216,10 +216,9 @@ def compatible_predicates(pairs: DataFrame, constraints: DataFrame, limit: int =
 
 def missing_endpoints(new: DataFrame, entities: DataFrame) -> DataFrame:
     """New facts with an end that isn't an active entity."""
-    known = entities.where("status = 'active'").select("id")
-    s = new.join(known.withColumnRenamed("id", "subject"), "subject", "left_anti").select(F.col("id").alias("triple_id"), F.col("subject").alias("missing"))
-    o = new.join(known.withColumnRenamed("id", "object"), "object", "left_anti").select(F.col("id").alias("triple_id"), F.col("object").alias("missing"))
-    return s.unionByName(o)
+    known = entities.where("status = 'active'").select(F.col("id").alias("missing"))
+    ends = new.select(F.col("id").alias("triple_id"), F.explode(F.array("subject", "object")).alias("missing"))
+    return ends.join(known, "missing", "left_anti").select("triple_id", "missing")
 
 
 def orphans(a: DataFrame, b: DataFrame) -> DataFrame:

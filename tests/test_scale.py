@@ -34,3 +34,11 @@ def test_timeline_goes_on_where_the_oldest_have_no_names(spark):
     e = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, name string")
     assert [r["triple_id"] for r in kg.timeline(_facts(spark, 100), e, limit=10).collect()] == [f"t{i:03}" for i in range(80, 90)]
     assert kg.timeline(_facts(spark, 30), e, limit=10).count() == 10 and kg.timeline(_facts(spark, 30), e, limit=25).count() == 20
+
+
+def test_missing_endpoints_reads_facts_once(spark, no_broadcast):
+    facts = spark.createDataFrame([("t1", "a", "p", "b", None, None), ("t2", "c", "p", "c", None, None), ("t3", None, "p", "a", None, None)], _FACT)
+    e = spark.createDataFrame([("a", "active"), ("b", "deleted")], "id string, status string")
+    out = kg.missing_endpoints(facts, e)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("t1", "b"), ("t2", "c"), ("t2", "c"), ("t3", None)], key=str)
+    assert _plan(out).count("LeftAnti") == 1
