@@ -151,12 +151,15 @@ def created_under(triples: DataFrame, context: str) -> DataFrame:
 def closure(triples: DataFrame, seeds: DataFrame, predicate: str = "is_a", depth: int = 5) -> DataFrame:
     """(id, ancestor, depth): everything reached from ``seeds`` (id) over current facts, at its least depth; seeds at 0.
 
-    One join and one aggregation for each level; only rows of the last level find anything to join.
+    One join and one aggregation for each level; only rows of the last level find anything to join.  The others are dealt by
+    their own id: without a key they would all come to one task.
     """
     up = triples.where((F.col("predicate") == predicate) & is_current()).select(F.col("subject").alias("__s"), F.col("object").alias("__o")).distinct()
+    up = up.withColumn("__last", F.lit(True))
     reached = seeds.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).distinct()
     for d in range(1, depth + 1):
-        step = reached.join(up, F.when(F.col("depth") == d - 1, F.col("ancestor")) == F.col("__s"), "left")
+        last = F.col("depth") == d - 1
+        step = reached.join(up, (F.when(last, F.col("ancestor")).otherwise(F.col("id")) == F.col("__s")) & (last == F.col("__last")), "left")
         own = F.struct("ancestor", "depth")
         found = F.when(F.col("__o").isNotNull(), F.array(own, F.struct(F.col("__o").alias("ancestor"), F.lit(d).alias("depth")))).otherwise(F.array(own))
         step = step.select("id", F.explode(found).alias("r"))

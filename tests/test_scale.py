@@ -42,3 +42,18 @@ def test_missing_endpoints_reads_facts_once(spark, no_broadcast):
     out = kg.missing_endpoints(facts, e)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([("t1", "b"), ("t2", "c"), ("t2", "c"), ("t3", None)], key=str)
     assert _plan(out).count("LeftAnti") == 1
+
+
+def test_closure_deals_settled_rows_by_their_id(spark, no_broadcast):
+    facts = spark.createDataFrame([(f"t{i}", f"e{i}", "is_a", f"e{i // 2}", None, None) for i in range(1, 40)], _FACT)
+    out = kg.closure(facts, facts.selectExpr("subject AS id"))
+    want = {}
+    for i in range(1, 40):
+        at = i
+        for d in range(6):
+            want.setdefault((f"e{i}", f"e{at}"), d)
+            if at == 0:
+                break
+            at //= 2
+    assert {(r["id"], r["ancestor"]): r["depth"] for r in out.collect()} == want
+    assert "ELSE id" in _plan(out)
