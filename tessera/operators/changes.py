@@ -49,8 +49,12 @@ def close_runs(opened: DataFrame, closed: DataFrame) -> DataFrame:
     Closings: run_id, seq, ts, flag_ids, counters (a map; what it lacks is 0), exit_code, errors.  The last closing of a run
     counts; runs without one are open, with nulls; closings of unknown runs are left out.
     """
-    body = F.struct("ts", "seq", "flag_ids", "counters", "exit_code", "errors")
-    last = closed.groupBy("run_id").agg(F.max_by(body, F.struct("ts", "seq")).alias("c"))
+    body, order = F.struct("ts", "seq", "flag_ids", "counters", "exit_code", "errors"), F.struct("ts", "seq")
+    # numbers are counted without sorting; only the narrow last of each time are sorted, and closings stream past those unsorted
+    latest = closed.groupBy("run_id", "ts").agg(F.max("seq").alias("seq"))
+    latest = latest.groupBy("run_id").agg(F.max(order).alias("l")).select(F.col("run_id").alias("__run"), F.col("l.ts").alias("__ts"), F.col("l.seq").alias("__seq"))
+    met = (F.col("run_id") == F.col("__run")) & F.col("ts").eqNullSafe(F.col("__ts")) & F.col("seq").eqNullSafe(F.col("__seq"))
+    last = closed.join(latest.hint("shuffle_hash"), met, "left_semi").groupBy("run_id").agg(F.max_by(body, order).alias("c"))
     out = opened.join(last, "run_id", "left")
     ids = F.coalesce("c.flag_ids", F.array().cast(dict(closed.dtypes)["flag_ids"]))
     done = F.col("c").isNotNull()

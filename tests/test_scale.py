@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.operators import kg, merges
+from tessera.operators import changes, kg, merges
 
 _FACT = "id string, subject string, predicate string, object string, valid_from string, valid_to string"
 
@@ -92,3 +92,12 @@ def test_proposals_of_a_context_meet_once(spark, no_broadcast):
         ("a", "q", "x", "phantom"), ("d", "a", "x", "phantom"), ("m", "a", "z", "self_loop"), ("b", "c", "z", "connected"),
     ])
     assert _plan(out).count("Window [") == 1  # pairs of a context meet once, without a join back
+
+
+def test_closings_stream_past_the_last_of_each_run(spark, no_broadcast):
+    opened = spark.createDataFrame([(1, "s", "m"), (2, "s", "m"), (3, "s", "m"), (4, "s", "m")], "run_id long, started_ts string, model string")
+    rows = [(1, 1, "b"), (1, 5, "a"), (1, 2, "b"), (2, None, "a"), (2, 1, None), (3, 7, None), (3, 8, None), (None, 1, "a"), (9, 1, "z")]
+    closed = spark.createDataFrame([(r, s, t, [s], {"merges": s or 0}, 0, "") for r, s, t in rows], "run_id long, seq long, ts string, flag_ids array<long>, counters map<string,int>, exit_code int, errors string")
+    out = changes.close_runs(opened, closed)
+    assert {r["run_id"]: (r["completed_ts"], r["flag_ids"], r["merges"]) for r in out.collect()} == {1: ("b", [2], 2), 2: ("a", [None], 0), 3: (None, [8], 8), 4: (None, None, None)}
+    assert "ShuffledHashJoin" in _plan(out)
