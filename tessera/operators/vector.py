@@ -26,7 +26,7 @@ CONTEXT_REUSE, CONTEXT_SIMILAR = 0.90, 0.65
 #: Query vectors at once, and numbers in them.
 MOST_QUERIES, MOST_NUMBERS = 100_000, 20_000_000
 #: Vectors and queries of a block.
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES = 2048, 512
 #: Vectors of a block that are settled by owner.
 OWNERS = 2048
 
@@ -34,19 +34,18 @@ OWNERS = 2048
 def hashing_embedder(dims: int = 64) -> Callable[[Column | str], Column]:
     """An offline embedder: signed counts of hashed words, unit length, as an Arrow function."""
 
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
         import xxhash
 
-        out = []
-        for t in texts:
-            v = np.zeros(dims)
-            for w in (t or "").lower().split():
+        v = np.zeros((len(texts), dims))
+        for i, t in enumerate(texts):  # one text at a time as a Python object
+            for w in (t.as_py() or "").lower().split():
                 h = xxhash.xxh3_64_intdigest(w)
-                v[h % dims] += 1 if h >> 63 else -1
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).tolist())
-        return pd.Series(out)
+                v[i, h % dims] += 1 if h >> 63 else -1
+        n = np.sqrt((v * v).sum(axis=1))
+        v /= np.where(n > 0, n, 1)[:, None]
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * dims, v.ravel())
 
     return embed
 
@@ -81,6 +80,7 @@ def _compared(queries: DataFrame, vectors: DataFrame, k: int | None = None, more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, units, more = sent.value
+        floor = np.full(len(more), -np.inf)  # what the task's blocks so far have at the last place that a query wants
         for whole in batches:
             for at in range(0, whole.num_rows if len(more) else 0, BLOCK):
                 part = whole.slice(at, BLOCK)
@@ -93,9 +93,13 @@ def _compared(queries: DataFrame, vectors: DataFrame, k: int | None = None, more
                             sim[np.ix_(of[low:high] - begin, mine[d][0])] = x[low:high] @ mine[d][1].T
                     keep = np.ones(sim.shape, bool)
                     if k is not None:
-                        want = np.minimum(k + more[begin : begin + len(sim)], part.num_rows)
-                        deep = -np.partition(-sim, np.unique(want - 1), axis=1)
-                        keep = sim >= deep[np.arange(len(sim)), want - 1][:, None] - 2e-6  # what rounding to 6 may put beside the last
+                        own = floor[begin : begin + len(sim)]
+                        want = k + more[begin : begin + len(sim)]
+                        full = np.flatnonzero(want <= part.num_rows)
+                        if len(full):
+                            last = part.num_rows - want[full]
+                            own[full] = np.maximum(own[full], np.partition(sim[full], np.unique(last), axis=1)[np.arange(len(full)), last])
+                        keep = sim >= own[:, None] - 2e-6  # what rounding to 6 may put beside the last
                     i, j = np.nonzero(keep)
                     of = pa.array(i + begin)
                     columns = [names.column("query_id").take(of), names.column("view").take(of), part.column(0).take(pa.array(j)), pa.array(sim[i, j])]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.operators import changes, kg, merges
+from tessera.operators import changes, kg, merges, vector
 
 _FACT = "id string, subject string, predicate string, object string, valid_from string, valid_to string"
 
@@ -101,3 +101,27 @@ def test_closings_stream_past_the_last_of_each_run(spark, no_broadcast):
     out = changes.close_runs(opened, closed)
     assert {r["run_id"]: (r["completed_ts"], r["flag_ids"], r["merges"]) for r in out.collect()} == {1: ("b", [2], 2), 2: ("a", [None], 0), 3: (None, [8], 8), 4: (None, None, None)}
     assert "ShuffledHashJoin" in _plan(out)
+
+
+def test_blocks_send_only_what_may_still_be_near(spark):
+    v = spark.range(12_000, numPartitions=1).selectExpr("id", "array(1D, id / 1000D) AS embedding")
+    q = spark.createDataFrame([(1, 0, [1.0, 0.0])], "query_id long, view int, query array<double>")
+    assert [r["id"] for r in vector.cosine_top_k(q, v, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert vector._compared(q, v, 5).count() < 10  # later blocks of a task know what the first ones have
+
+
+def test_embedder_is_that_of_single_texts(spark):
+    import numpy as np
+    import xxhash
+
+    def one(t):
+        v = np.zeros(8)
+        for w in (t or "").lower().split():
+            h = xxhash.xxh3_64_intdigest(w)
+            v[h % 8] += 1 if h >> 63 else -1
+        n = np.linalg.norm(v)
+        return (v / n if n else v).tolist()
+
+    texts = ["a b c", None, "", "Word word other", "x " * 1000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", vector.hashing_embedder(8)("t").alias("e")).collect()
+    assert [r["e"] for r in got] == [one(t) for t in texts]
