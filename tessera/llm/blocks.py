@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Units of size in a block.
 BLOCK = 2_000_000
+#: Members of block pairs whose questions are asked together.
+HELD = 8000
 
 
 def buckets(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -44,16 +46,57 @@ def stars(forest: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in list(up) if root(x) != x]
 
 
-def block_links(rows: DataFrame, link: Callable[[list, list], list[tuple[int, int]]], content: str) -> DataFrame:
-    """(src, dst) from (center, a, b, key, content): ``link(keys, contents)`` gives each block pair's forest, as positions; it comes out as stars."""
+def answered(asking: list[Generator], ask: Callable[[list], Sequence]) -> list:
+    """What generators return that yield lists of questions and are sent the answers; those of all are asked together, round by round."""
+    out = [None] * len(asking)
+    sent: list[tuple[int, Sequence | None]] = [(i, None) for i in range(len(asking))]
+    while sent:
+        asked = []
+        for i, answer in sent:
+            try:
+                asked.append((i, asking[i].send(answer)))
+            except StopIteration as e:
+                out[i] = e.value
+        answers = ask([q for _, questions in asked for q in questions]) if asked else []
+        sent, at = [], 0
+        for i, questions in asked:
+            sent.append((i, answers[at : at + len(questions)]))
+            at += len(questions)
+    return out
+
+
+def block_links(rows: DataFrame, link: Callable[[list, list], list[tuple[int, int]] | Generator], content: str, ask: Callable[[list], Sequence] | None = None) -> DataFrame:
+    """(src, dst) from (center, a, b, key, content): ``link(keys, contents)`` gives each block pair's forest, as positions; it comes out as stars.
+
+    With ``ask``, ``link`` is a generator as in ``answered``, and block pairs of about ``HELD`` members are settled together.
+    """
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, contents, links = None, [], [], []
+        held: list[tuple[list, Generator]] = []
+        members = 0
+
+        def add(keys: list, forest: list[tuple[int, int]]) -> None:
+            links.extend(stars([(keys[i], keys[j]) for i, j in forest]))
+
+        def settle() -> None:
+            nonlocal members
+            members = 0
+            if ask is not None:
+                for (keys, _), forest in zip(held, answered([x for _, x in held], ask)):
+                    add(keys, forest)
+                held.clear()
 
         def done() -> None:
-            if len(keys) > 1:
-                links.extend(stars([(keys[i], keys[j]) for i, j in link(keys, contents)]))
+            nonlocal members
+            if len(keys) > 1 and ask is None:
+                add(keys, link(keys, contents))
+            elif len(keys) > 1:
+                held.append((keys, link(keys, contents)))
+                members += len(keys)
+                if members >= HELD:
+                    settle()
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
@@ -65,8 +108,9 @@ def block_links(rows: DataFrame, link: Callable[[list, list], list[tuple[int, in
                 contents.append(c)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], schema=schema)
-                links = []
+                links.clear()
         done()
+        settle()
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], schema=schema)
 

@@ -24,7 +24,8 @@ is given back.  Other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import block_links, buckets
+from tessera.llm.blocks import answered, block_links, buckets
 from tessera.llm.common import arrow_map, checkpointed, connected_components, documents, release, trim
 from tessera.llm.jaccard_join import Groups
 from tessera.llm.shingles import bitmap, bits_for, in_bitmap, mixed, run_hashes
@@ -58,6 +59,12 @@ TRIGRAMS, TRIGRAM_BITS = 4, (512, 1 << 14)
 COMPARED = 256
 #: Lines whose blocks a task remembers to have told.
 TOLD = 1_000_000
+#: Pairs of lines of up to so many bytes have their distances computed together, about so many bytes at once, unless they are few; columns between looks at who is done.
+TOGETHER, BATCH, FEW, CHECKED = 4096, 1 << 20, 24, 32
+#: Lines of a large group that meet those before them at once; rounds over a bucket's pairs that count on the nearest to be similar.
+AT_ONCE, TRUSTED = 64, 3
+#: Lines of a bucket that all meet each other, whatever blocks they share.
+FEW_LINES = 4
 
 _BLANK, _BREAK, _ZERO = 32, 10, 48
 #: By byte: what it counts as.  Letters, the underscore and bytes of other characters stand for themselves.
@@ -344,6 +351,84 @@ def similar(a: str, b: str, percent: int = SIMILAR) -> bool:
     return at_least(a, b) <= least and edit_distance(a, b, least) <= least
 
 
+def within(pairs: list[tuple[bytes, bytes]], limits: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its limit, exactly; no pair may hold the bytes 0 or 1.
+
+    Bit-parallel columns as in ``edit_distance``, of all pairs at once and only of the diagonals that a path within the limit
+    can reach.  A pair leaves as soon as its cost so far, on the diagonal where it ends, is over the limit: it never falls.
+    """
+    out = np.zeros(len(pairs), bool)
+    sides = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    n, m = (np.array([len(x) for x in side], np.int64) for side in zip(*sides))
+    at = np.flatnonzero(n - m <= limits)
+    if not len(at):
+        return out
+    n, m, limit = n[at], m[at], np.asarray(limits, np.int64)[at]
+    score = n - m
+    reach = (limit - score) // 2  # diagonals beyond those of the two ends
+    words = int((2 * reach + score).max()) // 64 + 1
+    rows, columns = 64 * words + int(n.max()), int(m.max())
+    left = np.frombuffer(b"".join([(bytes(r) + sides[p][0]).ljust(rows, b"\0") for p, r in zip(at.tolist(), reach.tolist())]), np.uint8).reshape(len(at), rows)
+    right = np.frombuffer(b"".join([sides[p][1].ljust(columns, b"\1") for p in at.tolist()]), np.uint8).reshape(len(at), columns)
+    one, top = np.uint64(1), np.uint64(63)
+    packed = lambda x: np.packbits(x, axis=1, bitorder="little").view(np.uint64).T
+    # bit t of a column j is row j - reach + t; a row before the first has no step to the next
+    plus = packed(np.arange(64 * words) >= reach[:, None])
+    minus = np.zeros_like(plus)
+    word, bit = (reach + score) // 64, ((reach + score) % 64).astype(np.uint64)
+    for j in range(columns):
+        if j and j % CHECKED == 0:
+            open_ = score <= limit
+            out[at[open_ & (m <= j)]] = True
+            keep = np.flatnonzero(open_ & (m > j))
+            if not len(keep):
+                return out
+            if len(keep) * 10 <= len(at) * 9:
+                at, m, limit, score, word, bit, left, right = (x[keep] for x in (at, m, limit, score, word, bit, left, right))
+                plus, minus = np.ascontiguousarray(plus[:, keep]), np.ascontiguousarray(minus[:, keep])
+        same = packed(left[:, j : j + 64 * words] == right[:, j : j + 1])
+        both = same & plus
+        total = both + plus
+        if words > 1:  # carries go on to the next word
+            over = total < both
+            for w in range(1, words):
+                total[w] += over[w - 1]
+                over[w] |= over[w - 1] & (total[w] == 0)
+        equal = (total ^ plus) | same | minus
+        own = equal[0] if words == 1 else equal[word, np.arange(len(at))]
+        score += ((own >> bit & one) == 0) & (j < m)
+        more, less = minus | ~(equal | plus), equal & plus
+        down = equal >> one
+        if words > 1:
+            down[:-1] |= equal[1:] << top
+        plus, minus = less | ~(down | more), down & more
+    out[at[score <= limit]] = True
+    return out
+
+
+def similar_pairs(pairs: list[tuple[str, str]], percent: int = SIMILAR) -> np.ndarray:
+    """``similar`` of many pairs: those of like lengths together, the longest and those that are few one by one."""
+    out = np.zeros(len(pairs), bool)
+    longer = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
+    limit = (100 - percent) * longer // 100
+    order = np.argsort(longer, kind="stable")
+    alone = order[int(np.searchsorted(longer[order], TOGETHER, side="right")) :].tolist()
+    order = order[: len(order) - len(alone)]
+    k = 0
+    while k < len(order):
+        most = min(max(int(longer[order[k]]) * 3 // 2, 128), TOGETHER)
+        m = min(int(np.searchsorted(longer[order], most, side="right")), k + max(FEW, BATCH // most))
+        part = order[k:m].tolist()
+        k = m
+        if len(part) < FEW:
+            alone += part
+        else:
+            out[part] = within([(pairs[p][0].encode("latin-1"), pairs[p][1].encode("latin-1")) for p in part], limit[part])
+    for p in alone:
+        out[p] = similar(*pairs[p], percent)
+    return out
+
+
 def tell(told: list[np.ndarray], keys: np.ndarray, fresh: np.ndarray) -> None:
     """Takes those of ``fresh`` back whose keys are among ``told``, and adds the others; ``told`` holds sorted runs, each over twice as long as the next."""
     for run in told:
@@ -450,7 +535,12 @@ def meetings(lines: list[str]) -> list[np.ndarray]:
 
 
 def verified(keys: list[int], contents: list[dict], percent: int = SIMILAR) -> list[tuple[int, int]]:
-    """A forest of links between the lines of a bucket; in larger ones only lines that share a block are compared.
+    """A forest of links between the lines of a bucket; see ``linking``."""
+    return answered([linking(keys, contents, percent)], lambda pairs: similar_pairs(pairs, percent))[0]
+
+
+def linking(keys: list[int], contents: list[dict], percent: int = SIMILAR) -> Generator[list[tuple[str, str]], np.ndarray, list[tuple[int, int]]]:
+    """Yields pairs of lines of a bucket, is sent which are similar, and returns a forest of links; in larger buckets only lines that share a block are compared.
 
     Whether two lines link depends on them alone, not on what else is in the bucket: SimHashes, trigrams and words of both must
     not rule it out, and their edit similarity decides.  Only pairs that are connected already are left out.
@@ -459,7 +549,7 @@ def verified(keys: list[int], contents: list[dict], percent: int = SIMILAR) -> l
     lines = [contents[i]["line"] for i in order]
     value = np.array([contents[i]["simhash"] for i in order], np.int64).view(np.uint64)
     size = np.array([len(x) for x in lines])
-    bits = trigram_bits(lines)
+    bits = trigram_bits(lines) if len(keys) > FEW_LINES else None  # of few lines all distances are computed
     groups = Groups(len(keys))
     label = groups.label
     words: list[frozenset | None] = [None] * len(keys)
@@ -470,43 +560,86 @@ def verified(keys: list[int], contents: list[dict], percent: int = SIMILAR) -> l
             words[i] = frozenset(lines[i].split(" "))
         return words[i]
 
-    def compare(i: int, j: int) -> None:
-        if label[i] == label[j]:
-            return
-        if min(size[i], size[j]) >= 8 * SHORT:
-            a, b = distinct(i), distinct(j)
-            if len(a & b) * 100 < SAME * min(len(a), len(b)) - 100:
-                return
-        if similar(lines[i], lines[j], percent):
-            out.append((order[i], order[j]))
-            groups.join(i, j)
+    def worded(i: int, j: int) -> bool:
+        if min(size[i], size[j]) < 8 * SHORT:
+            return True
+        a, b = distinct(i), distinct(j)
+        return len(a & b) * 100 >= SAME * min(len(a), len(b)) - 100
+
+    def compare(a: np.ndarray, b: np.ndarray):
+        asked = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if worded(i, j)]
+        if asked:
+            yes = yield [(lines[i], lines[j]) for i, j in asked]
+            for k in np.flatnonzero(yes).tolist():
+                i, j = asked[k]
+                if label[i] != label[j]:
+                    out.append((order[i], order[j]))
+                    groups.join(i, j)
 
     pairs, large = [], []
-    for group in meetings(lines) if len(keys) > 4 else [np.arange(len(keys))]:
+    for group in meetings(lines) if len(keys) > FEW_LINES else [np.arange(len(keys))]:
         if len(group) > COMPARED:
             large.append(group)
         else:
-            a, b = np.triu_indices(len(group), 1)
+            a, b = two_of(len(group))
             pairs.append(group[a] * len(keys) + group[b])
     if pairs:  # the nearest first: most others are connected by then
         a, b = np.divmod(np.unique(np.concatenate(pairs)), len(keys))
         left = ~ruled_out(value[a], value[b], size[a], size[b], percent)
         a, b = a[left], b[left]
-        left = np.concatenate([~too_far(bits[x], bits[y], size[x], size[y], percent) for x, y in zip(_parts(a), _parts(b))])
-        a, b = a[left], b[left]
+        if bits is not None:
+            left = np.concatenate([~too_far(bits[x], bits[y], size[x], size[y], percent) for x, y in zip(_parts(a), _parts(b))])
+            a, b = a[left], b[left]
         near = np.argsort(np.bitwise_count(value[a] ^ value[b]), kind="stable")
-        for i, j in zip(a[near].tolist(), b[near].tolist()):
-            compare(i, j)
-    for group in [np.unique(np.concatenate(large))] if large else []:  # once, as such groups are often much the same
-        for k in range(1, len(group)):
-            i, before = int(group[k]), group[:k]
+        step, rounds = 2 * len(keys), 0
+        while len(near):
+            near = near[label[a[near]] != label[b[near]]]
+            first = np.ones(min(step, len(near)), bool)
+            if rounds < TRUSTED:  # pairs that the nearer ones of this round will connect, if they are similar, can wait
+                first[:] = connecting(label[a[near[:step]]].tolist(), label[b[near[:step]]].tolist())
+            now = near[:step][first]
+            yield from compare(a[now], b[now])
+            near, step, rounds = np.concatenate([near[:step][~first], near[step:]]), min(2 * step, 4096), rounds + 1
+    group = np.unique(np.concatenate(large)) if large else np.zeros(0, np.int64)  # once, as such groups are often much the same
+    for k in range(1, len(group), AT_ONCE):
+        waiting = []
+        for p in range(k, min(k + AT_ONCE, len(group))):
+            i, before = int(group[p]), group[:p]
             left = (label[before] != label[i]) & ~ruled_out(value[before], value[i], size[before], size[i], percent)
             near = before[left]
-            near = near[np.argsort(np.bitwise_count(value[near] ^ value[i]), kind="stable")]
-            for part in _parts(near):  # in a group of near copies the nearest settles it
-                part = part[label[part] != label[i]]
-                for j in part[~too_far(bits[part], bits[i], size[part], size[i], percent)].tolist():
-                    compare(i, j)
+            waiting.append((i, near[np.argsort(np.bitwise_count(value[near] ^ value[i]), kind="stable")]))
+        step = 1  # in a group of near copies the nearest settles it
+        while waiting:
+            left = [(i, near[label[near] != label[i]]) for i, near in waiting]
+            part = [(i, near[:step]) for i, near in left]
+            part = [(i, near[~too_far(bits[near], bits[i], size[near], size[i], percent)]) for i, near in part if len(near)]
+            if part:
+                yield from compare(np.repeat([i for i, _ in part], [len(near) for _, near in part]), np.concatenate([near for _, near in part]))
+            waiting = [(i, near[step:]) for i, near in left if len(near) > step]
+            step = min(8 * step, 512)
+    return out
+
+
+@lru_cache(32)
+def two_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of 0 .. n-1."""
+    return np.triu_indices(n, 1)
+
+
+def connecting(a: list[int], b: list[int]) -> list[bool]:
+    """Which links, in order, connect what those before them don't."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for x, y in zip(a, b):
+        x, y = root(x), root(y)
+        out.append(x != y)
+        up[x] = y
     return out
 
 
@@ -552,7 +685,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, classes: DataFrame, n_classes
     texts = arrow_map(texts, "rid long, line int, text string", maybe, "rid", "text")
     texts = wanted.join(texts, ["rid", "line"]).dropDuplicates(["key"])
     content = texts.select("key", F.struct(F.col("text").alias("line"), "simhash").alias("content"))
-    links = block_links(rows.join(content, "key"), lambda k, c: verified(k, c, percent=percent), "content")
+    links = block_links(rows.join(content, "key"), lambda k, c: linking(k, c, percent), "content", lambda pairs: similar_pairs(pairs, percent))
     return connected_components(links, n).select(F.col("node").alias("key"), F.col("component").alias("group"))
 
 

@@ -269,3 +269,34 @@ def test_distance_within_a_limit():
         b, limit = "".join(b), rng.choice([3, 10.5, 17, 30])
         d = levenshtein(a, b)
         assert (L.edit_distance(a, b, limit) <= limit) == (d <= limit) and (d > limit or L.edit_distance(a, b, limit) == d)
+
+
+def test_distances_of_many_pairs_are_those_of_each():
+    r = np.random.default_rng(5)
+    pairs = []
+    for n in r.integers(0, 900, 300).tolist():
+        a = "".join(r.choice(list("abcde \xe9"), n))
+        b = list(a)
+        for _ in range(int(r.integers(0, n // 6 + 2))):
+            k = int(r.integers(0, len(b) + 1))
+            b[k : k + int(r.integers(0, 2))] = r.choice(list("abz"), int(r.integers(0, 2))).tolist()
+        pairs.append((a, "".join(b)) if n % 2 else ("".join(b), a))
+    limits = np.array([max(len(a), len(b)) // 10 for a, b in pairs])
+    near = [L.edit_distance(a, b) <= k for (a, b), k in zip(pairs, limits.tolist())]
+    assert 30 < sum(near) < 270
+    assert L.within([(a.encode("latin-1"), b.encode("latin-1")) for a, b in pairs], limits).tolist() == near
+    assert L.similar_pairs(pairs).tolist() == [L.similar(a, b) for a, b in pairs]
+
+
+def test_pairs_of_a_bucket_are_not_compared_one_by_one(monkeypatch):
+    r = np.random.default_rng(6)
+    words = ["".join(r.choice(list("abcdefgh"), 8)) for _ in range(40)]
+    lines = [" ".join(words[:k] + ["".join(r.choice(list("ijklmn"), 8)) for _ in range(6)] + words[k + 6 :]) for k in r.integers(0, 34, 80).tolist()]
+    lines += [x[:-1] + "z" for x in lines[:40]]
+    end = np.cumsum([len(x) + 1 for x in lines]) - 1
+    simhash, _, _ = L.signatures(*L.line_words("\n".join(lines).encode(), np.append(0, end[:-1] + 1)))
+    contents = [{"line": x, "simhash": int(v)} for x, v in zip(lines, simhash.view(np.int64))]
+    calls, one = [], L.similar
+    monkeypatch.setattr(L, "similar", lambda *a: calls.append(a) or one(*a))
+    forest = L.verified(list(range(len(lines))), contents)
+    assert {tuple(sorted(p)) for p in forest} >= {(k, 80 + k) for k in range(40)} and len(calls) < 100
