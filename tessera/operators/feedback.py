@@ -41,6 +41,10 @@ def current_ratings(ratings: DataFrame, key: list[str], ts: str = "ts", tie: str
     return ratings.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+#: Parts by id in which pairs of queries and ids are made.
+DEALT = 32
+
+
 def neighbourhood_scores(neighbours: DataFrame, ratings: DataFrame, surfaced_weight: float = 0.3) -> DataFrame:
     """(query_id, id, rated, recall, contexts) over neighbours (query_id, context_id, weight) and current ratings.
 
@@ -48,15 +52,21 @@ def neighbourhood_scores(neighbours: DataFrame, ratings: DataFrame, surfaced_wei
     surfaced).  ``recall``: the same, unclamped, plus a share for being surfaced.  ``contexts``: the
     neighbours, not the query's own context, that contributed.
     """
-    hit = neighbours.join(ratings, "context_id")
+    # queries with the same neighbours share their sums, so that pairs of query and id are made last, and never aggregated
+    near = neighbours.where("context_id IS NOT NULL").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("context_id", "weight"))).alias("__near"))
+    kinds = near.groupBy("__near").agg(F.min(F.struct("query_id")).alias("__first"))
+    hit = kinds.select("__first", F.inline("__near")).join(ratings, "context_id")
     signed = F.when(F.col("kind") == "rated_useful", F.col("weight") * F.col("confidence")).when(F.col("kind") == "rated_irrelevant", -F.col("weight") * F.col("confidence"))
     surfaced = F.when(F.col("kind") == "surfaced", F.col("weight") * surfaced_weight)
-    other = F.when(F.col("context_id") != F.col("query_id"), F.col("context_id"))
-    out = hit.groupBy("query_id", F.col("memory_id").alias("id")).agg(
-        F.sum(signed).alias("rated"), F.coalesce(F.sum(signed), F.lit(0.0)).alias("net"), F.coalesce(F.sum(surfaced), F.lit(0.0)).alias("seen"), F.array_sort(F.collect_set(other)).alias("contexts")
+    sums = hit.groupBy("__first", F.col("memory_id").alias("id")).agg(
+        F.sum(signed).alias("rated"), F.coalesce(F.sum(signed), F.lit(0.0)).alias("net"), F.coalesce(F.sum(surfaced), F.lit(0.0)).alias("seen"), F.collect_set("context_id").alias("contexts")
     )
+    # dealt by id as well, as few kinds may have all queries
+    asking = near.join(kinds, "__near").select("query_id", "__first", F.explode(F.array(*map(F.lit, range(DEALT)))).alias("__part"))
+    out = sums.withColumn("__part", F.pmod(F.hash("id"), F.lit(DEALT))).join(asking, ["__first", "__part"])
     clamped = F.when(F.col("rated").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rated"))))
-    return out.select("query_id", "id", clamped.alias("rated"), (F.col("net") + F.col("seen")).alias("recall"), "contexts")
+    other = F.array_sort(F.filter("contexts", lambda c: c != F.col("query_id")))
+    return out.select("query_id", "id", clamped.alias("rated"), (F.col("net") + F.col("seen")).alias("recall"), other.alias("contexts"))
 
 
 def context_channel(scores: DataFrame) -> DataFrame:

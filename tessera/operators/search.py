@@ -71,12 +71,14 @@ def multi_channel_search(
     name = F.concat(F.lit("cosine_"), F.col("view").cast("string"))
     parts = [cosine.select("query_id", name.alias("list_name"), F.lit(float(w["cosine"])).alias("weight"), "id", F.col("similarity").alias("score"))]
 
+    def passing_only(rows: DataFrame, column: str) -> DataFrame:
+        return rows if allowed is None else rows.join(allowed.withColumnRenamed("id", "__ok"), F.col(column).cast("string") == F.col("__ok"), "left_semi")
+
     def add(found: DataFrame, channel: str) -> None:
-        found = found.withColumn("id", F.col("id").cast("string"))
-        parts.append(ranking.with_channel(found if allowed is None else found.join(allowed, "id", "left_semi"), channel, weights))
+        parts.append(ranking.with_channel(found.withColumn("id", F.col("id").cast("string")), channel, weights))
 
     if asked is not None:
-        add(keywords.keyword_channel(asked, postings, idfs), "keyword")
+        add(passing_only(keywords.keyword_channel(asked, postings, idfs), "id"), "keyword")
     if triples is not None:
         first = ranking.top_k(cosine, ["query_id", "view"], [F.desc("similarity"), "id"], SEEDS)
         known = cosine.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
@@ -85,9 +87,10 @@ def multi_channel_search(
             own = seeds.select("query_id", F.col("id").cast("string").alias("id")).distinct()
             own = own.join(known, ["query_id", "id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
             near = near.join(own.select("query_id").distinct(), "query_id", "left_anti").unionByName(own)
-        add(kg.graph_channel(near, triples), "graph")
+        add(passing_only(kg.graph_channel(near, triples), "id"), "graph")
     if neighbours is not None:
-        scored = feedback.neighbourhood_scores(neighbours, ratings).withColumn("recall", F.round("recall", 9))
+        rated = passing_only(ratings, "memory_id")  # before each meets all queries
+        scored = feedback.neighbourhood_scores(neighbours, rated).withColumn("recall", F.round("recall", 9))
         add(feedback.context_channel(scored), "context")
     out = parts[0]
     for p in parts[1:]:

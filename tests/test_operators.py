@@ -262,3 +262,17 @@ def test_fusion_shuffles_candidates_once(spark):
     c = spark.range(100).select((F.col("id") % 3).alias("query_id"), F.lit("a_0").alias("list_name"), F.lit(1.0).alias("weight"), "id", F.col("id").cast("double").alias("score"))
     plan = ranking.rrf(c)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_queries_with_the_same_neighbours_share_their_sums(spark):
+    from tessera.operators import feedback
+
+    n = spark.createDataFrame([("q", "a", 1.0), ("r", "a", 1.0), ("a", "a", 1.0), ("s", "a", 1.0), ("s", "b", 0.5), (None, "a", 1.0), ("t", "a", 1.0), ("t", "a", 1.0), ("u", None, 1.0)], "query_id string, context_id string, weight double")
+    r = spark.createDataFrame([("a", "m", "rated_useful", 0.5), ("b", "m", "rated_irrelevant", 0.4), ("b", "k", "surfaced", 1.0), (None, "m", "rated_useful", 1.0)], "context_id string, memory_id string, kind string, confidence double")
+    found = feedback.neighbourhood_scores(n, r)
+    got = {(x.query_id, x.id): (x.rated and round(x.rated, 9), round(x.recall, 9), x.contexts) for x in found.collect()}
+    assert got == {
+        ("q", "m"): (0.5, 0.5, ["a"]), ("r", "m"): (0.5, 0.5, ["a"]), ("a", "m"): (0.5, 0.5, []), ("s", "m"): (0.3, 0.3, ["a", "b"]),
+        ("s", "k"): (None, 0.15, ["b"]), (None, "m"): (0.5, 0.5, []), ("t", "m"): (1.0, 1.0, ["a"]),
+    }
+    assert "Aggregate [query_id" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines(True) if "memory_id" in x)
