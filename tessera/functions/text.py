@@ -5,7 +5,10 @@ Word lists and patterns are parameters with the engine's fixed lists as defaults
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -131,10 +134,32 @@ def detect_content_type(text: str | Column, keywords: dict[str, list[str]] = X.C
     return out
 
 
+def cues(pattern: str) -> list[str]:
+    """Literals of which every match of a pattern holds one; none where the pattern isn't plain enough to tell."""
+    if "(?" in pattern or re.search(r"\\[^\Wbdsw]", pattern):
+        return []
+    group = re.search(r"\(([^()\\]*)\)(?![?*{])", pattern)
+    plain = re.sub(r"\([^()]*\)[?*]?", "\n", pattern)
+    plain = re.sub(r"\\[bdsw][+*?]?|\[[^\]]+\][+*?]?|(?:\\\W|[^\\])[?*]|(?<!\\)[.+]", "\n", plain)
+    if re.search(r"(?<!\\)[()|{}\[\]^$]", plain):
+        return []
+    best = max(re.sub(r"\\(\W)", r"\1", plain).split("\n"), key=len)
+    if len(best) < 3 and group:
+        each = [cues(pattern[: group.start()] + x + pattern[group.end() :]) for x in group[1].split("|")]
+        if all(each):
+            return [c for x in each for c in x]
+    return [best] if best else []
+
+
 def marker_score(text: str | Column, markers: list[str], lowered: bool = False) -> Column:
-    """Number of matches of all patterns in the lower-cased text; ``lowered`` says that it is already."""
+    """Number of matches of all patterns in the lower-cased text; ``lowered`` says that it is already, so that only patterns whose cues it holds are searched for."""
     low = _c(text) if lowered else F.lower(_c(text))
-    return sum((F.regexp_count(low, F.lit(m)) for m in markers), F.lit(0))
+
+    def count(pattern: str) -> Column:
+        found, held = F.regexp_count(low, F.lit(pattern)), [low.contains(c) for c in cues(pattern)]
+        return F.when(~reduce(or_, held), 0).otherwise(found) if lowered and held else found
+
+    return sum(map(count, markers), F.lit(0))
 
 
 def sentiment(text: str | Column, positive: list[str] = X.POSITIVE_WORDS, negative: list[str] = X.NEGATIVE_WORDS) -> Column:

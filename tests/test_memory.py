@@ -165,3 +165,27 @@ def test_proposals_by_hand(spark):
     }
     made = {(r.from_entity, r.to_entity): (round(r.score, 6), r.shared_context_count) for r in merges.propose_edges(props, ents, tomb, trip).collect()}
     assert made == {("x", "y"): (1.6, 2), ("y", "z"): (0.4, 1)}
+
+
+def test_patterns_are_searched_only_where_their_cues_stand(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import lexicons as X
+    from tessera.functions import text as T
+
+    patterns = [p for m in X.MARKERS.values() for p in m]
+    assert sum(bool(T.cues(p)) for p in patterns) == len(patterns)
+    assert [T.cues(p) for p in (r"\b(bug|fail)\b", r"ab*c", r"ab+", r"a|b", r"(?i)abc", r"\Qa\E", r"x{2}", r"\*[^*]+\*", r"(abc)?d", r"(ab|)")] == [["bug", "fail"], ["a"], ["ab"], [], [], [], [], ["*"], ["d"], []]
+    rng = random.Random(1)
+    words = [w for p in patterns for w in re.split(r"\\.|[^a-z' ]+", p) if w.strip()] + ["v2.1", "10x faster", "5% better", "*so*", "snakecase", "lets use", "don't use"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, t string")
+    rows = df.select("t", *(F.struct(T.marker_score("t", [p], lowered=True), F.regexp_count("t", F.lit(p))).alias(f"p{k}") for k, p in enumerate(patterns))).collect()
+    for k in range(len(patterns)):
+        assert all(r[f"p{k}"][0] == r[f"p{k}"][1] for r in rows), patterns[k]
+    assert sum(r[f"p{k}"][1] or 0 for r in rows for k in range(len(patterns))) > 500
+    plan = T.memory_types(df, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan
