@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.entities import candidates, classify, scores
+from tessera.operators.merges import _cut
 
 REGISTRY = "name string, type string, source string, aliases array<string>, relationship string, contexts array<string>, confidence double, seen_count long, ambiguous boolean"
 _COLUMNS = [c.split()[0] for c in REGISTRY.split(", ")]
@@ -72,7 +73,8 @@ def learn(registry: DataFrame, texts: DataFrame, common: DataFrame, context: str
     new = learned(registry, texts, **how).select(
         "name", F.lit("person").alias("type"), F.lit("learned").alias("source"), none.alias("aliases"), F.lit("").alias("relationship"), F.array(F.lit(context)).alias("contexts"), "confidence", "seen_count",
     )
-    return registry.select(*_COLUMNS).unionByName(_ambiguous(new, common).select(*_COLUMNS))
+    new = _cut(_ambiguous(new, common).select(*_COLUMNS))  # names, few beside the texts: what learns from this registry needn't read those again
+    return registry.select(*_COLUMNS).unionByName(new)
 
 
 def confirm(registry: DataFrame, found: DataFrame, common: DataFrame) -> DataFrame:

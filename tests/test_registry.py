@@ -72,3 +72,16 @@ def test_mentions_of_long_names(spark):
     texts = spark.createDataFrame([(0, f"so {long.upper()}, too"), (1, "Pablo Diego Jose"), (2, "Pablo"), (3, "Pablo  Diego"), (4, "p. d. Pablos"), (5, ""), (6, "diego pablo")], "id int, text string")
     got = sorted((r.id, r.name) for r in R.mentions(texts, known).collect())
     assert got == [(0, "Pablo"), (0, "Pablo Diego"), (0, long), (1, "Pablo"), (1, "Pablo Diego"), (2, "Pablo"), (3, "Pablo"), (4, "Pablo Diego"), (6, "Pablo")]
+
+
+def test_what_learns_from_a_learned_registry_does_not_read_the_texts_again(spark):
+    from pyspark.sql import functions as F
+
+    none = spark.createDataFrame([], "name string, relationship string, context string")
+    words = spark.createDataFrame([("will",)], "word string")
+    seeded = R.seed(none, spark.createDataFrame([("Atlas",)], "name string"), spark.createDataFrame([], "alias string, name string"), words)
+    texts = spark.range(3).select("id", F.lit("Hey Alice, Alice said yes.\nAlice: I think she is right. Thanks Alice, Alice told me.").alias("text"))
+    once = R.learn(seeded, texts, words)
+    assert sorted(r.name for r in once.collect()) == ["Alice", "Atlas"]
+    leaves = once._jdf.queryExecution().withCachedData().collectLeaves()
+    assert "Range" not in {leaves.apply(k).nodeName() for k in range(leaves.size())}
