@@ -103,7 +103,8 @@ def mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     """(id, name): the people whose names or aliases stand in texts (id, text) as words, in any case.
 
     Words and pairs of words are joined with the first two words of the names, and the text is then searched for the name as
-    it is written.  A name that is a common word too counts only where more speaks for a person than against.
+    it is written.  A name that is a common word too counts only where more speaks for a person than against.  Both joins
+    shuffle: a table of texts may look small in its file, and its words must not gather in the driver.
     """
     people = registry.where("type = 'person'").select("name", "ambiguous", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("form"))
     people = people.withColumn("__k", F.array_join(F.slice(_words("form"), 1, 2), " ")).where("__k <> ''")
@@ -112,7 +113,7 @@ def mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     w = texts.select("id", _words("text").alias("w"))
     pairs = F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
     runs = w.select("id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("__k"))
-    met = runs.join(people, "__k").select("id", "name", "form", "doubtful").distinct().join(texts.select("id", "text"), "id")
+    met = runs.hint("merge").join(people, "__k").select("id", "name", "form", "doubtful").distinct().hint("merge").join(texts.select("id", "text"), "id")
     met = met.withColumn("__e", _escaped("form")).where(F.regexp_like("text", F.concat(F.lit(r"(?iU)\b"), F.col("__e"), F.lit(r"\b"))))
     met = met.withColumn("__e", F.lower("__e"))
     sure = ~F.col("doubtful") | (_signs(PERSON_CONTEXT) > _signs(CONCEPT_CONTEXT))

@@ -85,3 +85,15 @@ def test_what_learns_from_a_learned_registry_does_not_read_the_texts_again(spark
     assert sorted(r.name for r in once.collect()) == ["Alice", "Atlas"]
     leaves = once._jdf.queryExecution().withCachedData().collectLeaves()
     assert "Range" not in {leaves.apply(k).nodeName() for k in range(leaves.size())}
+
+
+def test_words_of_texts_do_not_gather_in_the_driver(spark, seeded, tmp_path):
+    """A few kB of events in a file may be many words: no side of the joins with texts is broadcast, whatever the file's size says."""
+    from pyspark.sql import functions as F
+
+    spark.range(2000).select("id", F.lit("Hey Max, " + "are you there? " * 50).alias("text")).write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    plan = R.mentions(texts, seeded)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join [id#" in x or "Join [__k#" in x]
+    assert len(joins) == 2 and all("SortMergeJoin" in x for x in joins)
+    assert R.mentions(texts, seeded).groupBy("name").count().collect()[0][1] == 2000
