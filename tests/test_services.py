@@ -77,3 +77,13 @@ def test_graph_object(spark):
     assert g.delete(spark.createDataFrame([("a",)], "id string"), "2024").triples.where("valid_to IS NULL").count() == 1
     g.register()
     assert spark.sql("SELECT count(*) AS n FROM triples").first().n == 2
+
+
+def test_pair_scores_ask_for_every_benchmark_text(spark, tmp_path):
+    from tessera.plans.service_queries import rank_pair_scores
+
+    texts = [(i, f"alpha{i} beta{i} gamma{i} delta") for i in (0, 1, 7, 49, 50, 101)]
+    spark.createDataFrame(texts, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(10 + i, t) for i, t in texts] + [(5, "nothing of it"), (6, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    first = {r.query_id: r.id for r in rank_pair_scores(spark, str(tmp_path)).where("rank = 1").collect()}
+    assert first == {i: 10 + i for i, _ in texts}
