@@ -5,6 +5,8 @@ All of it is keyed by query_id, so a batch of queries is one plan.  Ties are bro
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,26 @@ def rrf(candidates: DataFrame, k: int = 60) -> DataFrame:
     )
 
 
+def half_up(x: np.ndarray, places: int) -> np.ndarray:
+    """``round`` as SQL has it, half away from zero."""
+    unit = 10.0**places
+    return np.copysign(np.floor(np.abs(x) * unit + 0.5), x) / unit + 0.0
+
+
+def fuse(lists: list[tuple[str, float, np.ndarray, np.ndarray]], n: int, k: int = 60) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """``rrf`` of one query, whose lists (name, weight, positions, scores) are over ``n`` ids in ascending order: positions, rrf, channels, primary."""
+    lists = sorted(lists, key=lambda x: x[0])
+    total, held = np.zeros(n), np.zeros(n, np.int64)
+    for i, (_, weight, at, score) in enumerate(lists):
+        total[at[np.argsort(-score, kind="stable")]] += weight / (k + np.arange(1, len(at) + 1))
+        held[at] |= 1 << i
+    at = np.flatnonzero(held)
+    codes, of = np.unique(held[at], return_inverse=True)
+    among = [[x[0] for i, x in enumerate(lists) if code >> i & 1] for code in codes.tolist()]
+    channels = pa.array([",".join(sorted({x.split("_")[0] for x in names})) for names in among], pa.string())
+    return at, total[at], channels.take(pa.array(of)), pa.array([names[0] for names in among], pa.string()).take(pa.array(of))
+
+
 def adaptive_k(df: DataFrame, by: list[str], score: str, tie: str, max_k: int = 20, min_k: int = 1, multiple: float = 2.0) -> DataFrame:
     """Rows of each group before its largest gap between neighbouring scores.
 

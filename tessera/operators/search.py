@@ -6,6 +6,10 @@ without input are left out.  All of it is keyed by query_id; a query that no cha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,25 @@ def filtered_top_k(queries: DataFrame, vectors: DataFrame, tree: Tree, k: int =
     return vector.cosine_top_k(queries, filtered(vectors, tree), k)
 
 
+def fused(queries: DataFrame, vectors: DataFrame, lists: Callable[[pa.Array, np.ndarray], list[tuple]], pool: int | None = None, places: int = 9, k: int = 60) -> DataFrame:
+    """(query_id, id, similarity, rrf, channels, primary): ``ranking.rrf`` of the lists that ``lists`` makes of all ids and their similarity to a query.
+
+    Lists are ranked and fused where the query meets the vectors (``vector.per_query``), so candidates aren't shuffled.  ``rrf`` is rounded; of a
+    ``pool`` the first rows by it, ties by id.
+    """
+
+    def made(ids: pa.Array, similarity: np.ndarray) -> list[pa.Array]:
+        at, score, *names = ranking.fuse(lists(ids, similarity), len(ids), k)
+        score = ranking.half_up(score, places)
+        if pool is not None and len(at) > pool:
+            few = np.flatnonzero(score >= np.partition(score, -pool)[-pool])
+            few = few[np.argsort(-score[few], kind="stable")[:pool]]
+            at, score, names = at[few], score[few], [x.take(pa.array(few)) for x in names]
+        return [ids.take(pa.array(at)), pa.array(similarity[at]), pa.array(score), *names]
+
+    return vector.per_query(queries, vectors, made, f"id {vectors.schema['id'].dataType.simpleString()}, similarity double, rrf double, channels string, primary string")
+
+
 def top_k_by_filter(queries: DataFrame, vectors: DataFrame, k: int = 10, most: int = 1000) -> DataFrame:
     """The same where each query (query_id, view, query, filter) has a filter of its own, as JSON; null lets all pass.
 

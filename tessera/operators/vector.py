@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType, _parse_datatype_string
 
 from tessera.operators.ranking import top_k
 
@@ -29,6 +30,8 @@ MOST_QUERIES, MOST_NUMBERS = 100_000, 20_000_000
 BLOCK, QUERIES = 2048, 512
 #: Vectors of a block that are settled by owner.
 OWNERS = 2048
+#: Queries at least and at most of a task that meets all vectors, and similarities that it holds at once.
+FEWEST, SIMILARITIES = 16, 4_000_000
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[Column | str], Column]:
@@ -217,6 +220,64 @@ def min_max_similarity(queries: DataFrame, views: DataFrame) -> DataFrame:
     return rows.repartition("owner_id").sortWithinPartitions("owner_id").mapInArrow(run, schema)
 
 
+def per_query(queries: DataFrame, vectors: DataFrame, made: Callable[[pa.Array, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
+    """(query_id, columns of ``schema``) that ``made`` gives for one query: it sees all ids, ascending, and their similarity.
+
+    Of an id's vectors and a query's views the best pair counts.  Queries are dealt to tasks, and all vectors go to each of these:
+    once for up to 512 queries, so that no pair travels or is sorted beyond its query.  A task holds all vectors with length 1.
+    """
+    of_all = _by_query(queries)
+    number = len(of_all[0])
+    context = vectors.sparkSession.sparkContext
+    sent = context.broadcast(of_all)
+    blocks = max(1, -(-number // QUERIES), min(context.defaultParallelism, -(-number // FEWEST)))
+    rows = vectors.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartitionById(blocks, "block")
+    kind = StructType([queries.schema["query_id"], *_parse_datatype_string(schema)])
+    out = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, n, of_view, of_query, units = sent.value
+        ids, parts, size, block = [], [], 0, None
+        for whole in batches:
+            for at in range(0, whole.num_rows if number else 0, BLOCK):
+                part = whole.slice(at, BLOCK)
+                ids.append(part.column(0))
+                parts += [(d, of + size, x) for d, (of, x) in _units(part.column(1).to_pylist()).items()]
+                size += part.num_rows
+                block = part.column(2)[0].as_py()
+        if block is None:
+            return
+        ids = pa.concat_arrays(ids)
+        order = pc.sort_indices(ids, null_placement="at_start")
+        ids = ids.take(order)
+        same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(ids[1:]).to_numpy(zero_copy_only=False) & pc.is_null(ids[:-1]).to_numpy(zero_copy_only=False))
+        start = np.append(0, 1 + np.flatnonzero(~same))
+        ids = ids.take(pa.array(start))
+        to = np.empty(size, np.int64)
+        to[order.to_numpy()] = np.arange(size)
+        parts = [(d, to[of], x) for d, of, x in parts]
+        ends, firsts = np.append(of_query[1:], len(of_view)), np.append(of_view, n)
+        step = max(1, SIMILARITIES // size)
+        mine = range(block * number // blocks, (block + 1) * number // blocks)
+        for begin in range(mine.start, mine.stop, step):
+            some = range(begin, min(begin + step, mine.stop))
+            low, high = firsts[of_query[some.start]], firsts[ends[some.stop - 1]]
+            sim = np.zeros((high - low, size))
+            for d, of, x in parts:
+                if d in units:
+                    a, b = np.searchsorted(units[d][0], (low, high))
+                    sim[np.ix_(units[d][0][a:b] - low, of)] = units[d][1][a:b] @ x.T
+            for k in some:
+                best = sim[firsts[of_query[k]] - low : firsts[ends[k]] - low].max(axis=0)
+                columns = made(ids, best if len(start) == size else np.maximum.reduceat(best, start))
+                for c in range(0, len(columns[0]), 1 << 16):
+                    cut = [x.slice(c, 1 << 16) for x in columns]
+                    cut = [names.take(pa.array(np.full(len(cut[0]), k))), *cut]
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cut, out)], schema=out)
+
+    return rows.mapInArrow(run, kind)
+
+
 def near_extremes(queries: DataFrame, views: DataFrame, near: DataFrame) -> DataFrame:
     """``min_max_similarity`` of the pairs ``near`` (query_id, owner_id): these meet the owners' vectors, so that no other pair travels."""
     sent = views.sparkSession.sparkContext.broadcast(_by_query(queries))

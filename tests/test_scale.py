@@ -1,8 +1,11 @@
 """Steps whose cost must not grow faster than their input: what their plans may hold, and that their rows stay the same."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import changes, kg, merges, vector
+from tessera.operators import changes, kg, merges, ranking, search, vector
+from tessera.plans import rank_queries
 
 _FACT = "id string, subject string, predicate string, object string, valid_from string, valid_to string"
 
@@ -125,3 +128,39 @@ def test_embedder_is_that_of_single_texts(spark):
     texts = ["a b c", None, "", "Word word other", "x " * 1000]
     got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", vector.hashing_embedder(8)("t").alias("e")).collect()
     assert [r["e"] for r in got] == [one(t) for t in texts]
+
+
+def _fusable(ids, similarity):
+    low = np.flatnonzero(similarity < 0.5)
+    return [("view_0", 1.0, np.flatnonzero(similarity > -0.2), similarity[similarity > -0.2]), ("low", 0.5, low, np.round(similarity[low], 1))]
+
+
+def test_fusion_where_a_query_meets_the_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = [(None if i in (7, 8) else i // 2 if 60 < i < 80 else 200 - i, None if i == 9 else [1.0] if i == 11 else [0.0] * 3 if i == 12 else rng.normal(size=3).tolist()) for i in range(200)]
+    q = [(i % 40, i // 40, None if i == 3 else rng.normal(size=3).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame(v, "id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame(q, "query_id int, view int, query array<double>")
+    s = vector.score_queries(queries, vectors).groupBy("query_id", "id").agg(F.max("similarity").alias("s"))
+    row = lambda df, name, w, score: df.select("query_id", F.lit(name).alias("list_name"), F.lit(w).alias("weight"), "id", score.alias("score"))
+    plain = row(s.where("s > -0.2"), "view_0", 1.0, F.col("s")).unionByName(row(s.where("s < 0.5"), "low", 0.5, F.bround("s", 1)))
+    want = {(r.query_id, r.id): (r.channels, r.primary, pytest.approx(r.rrf, abs=1e-12)) for r in ranking.rrf(plain).collect()}
+    out = search.fused(queries, vectors, _fusable, places=15)
+    assert {(r.query_id, r.id): (r.channels, r.primary, r.rrf) for r in out.collect()} == want and len(want) > 5000
+    assert out.rdd.getNumPartitions() > 1
+    first = {x: [r.id for r in sorted((r for r in out.collect() if r.query_id == x), key=lambda r: (-r.rrf, r.id is not None, r.id))[:7]] for x in range(40)}
+    few = search.fused(queries, vectors, _fusable, pool=7, places=15).collect()
+    assert {x: sorted((r.id for r in few if r.query_id == x), key=str) for x in range(40)} == {x: sorted(y, key=str) for x, y in first.items()}
+    assert search.fused(queries.limit(0), vectors, _fusable).count() == 0 == search.fused(queries, vectors.limit(0), _fusable).count()
+
+
+@pytest.mark.parametrize("name", ["rank_two_stage"])
+def test_fusion_shuffles_vectors_and_no_pairs(spark, sf, name):
+    plan = _plan(rank_queries.QUERIES[name](spark, sf))
+    below = plan[plan.index("MapInArrow") :]
+    assert below.count("Exchange") == 1 and "Window" not in below and "Aggregate" not in plan
+
+
+def test_rounding_is_half_up():
+    assert ranking.half_up(np.array([0.0002734375, 0.5, -0.5, 1.25, -0.0, 0.1234565]), 9).tolist() == [0.000273438, 0.5, -0.5, 1.25, 0.0, 0.1234565]
+    assert ranking.half_up(np.array([0.5, 1.5, 2.5, -2.5]), 0).tolist() == [1.0, 2.0, 3.0, -3.0]
