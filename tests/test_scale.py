@@ -154,7 +154,7 @@ def test_fusion_where_a_query_meets_the_vectors(spark):
     assert search.fused(queries.limit(0), vectors, _fusable).count() == 0 == search.fused(queries, vectors.limit(0), _fusable).count()
 
 
-@pytest.mark.parametrize("name", ["rank_two_stage"])
+@pytest.mark.parametrize("name", ["rank_rrf", "rank_two_stage"])
 def test_fusion_shuffles_vectors_and_no_pairs(spark, sf, name):
     plan = _plan(rank_queries.QUERIES[name](spark, sf))
     below = plan[plan.index("MapInArrow") :]
